@@ -136,8 +136,11 @@ def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind.to_pandas_dtype(), copy=False), kind))
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of all rows with equal keys, from a stream in which such rows are consecutive."""
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that hold whole runs of rows with equal keys, and the first row of each run and the end.
+
+    Rows with equal keys must be consecutive in the stream. At most a batch and one run are held.
+    """
     held: list[pa.RecordBatch] = []
     last: tuple | None = None
     for batch in batches:
@@ -147,16 +150,26 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         for key in keys:
             column = batch.column(key).to_numpy(zero_copy_only=False)
             change[1:] |= column[1:] != column[:-1]
-        bounds = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            own = tuple(batch.column(key)[a].as_py() for key in keys)
-            if held and own != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = own
+        change[0] = last is not None and last != tuple(batch.column(key)[0].as_py() for key in keys)
+        last = tuple(batch.column(key)[batch.num_rows - 1].as_py() for key in keys)
+        at = np.flatnonzero(change)
+        if len(at):
+            if held or at[-1]:
+                yield _bounded(pa.Table.from_batches([*held, batch.slice(0, int(at[-1]))]), keys)
+            held = [batch.slice(int(at[-1]))]
+        else:
+            held.append(batch)
     if held:
-        yield pa.Table.from_batches(held)
+        yield _bounded(pa.Table.from_batches(held), keys)
+
+
+def _bounded(table: pa.Table, keys: list[str]) -> tuple[pa.Table, np.ndarray]:
+    change = np.ones(table.num_rows, bool)
+    change[1:] = False
+    for key in keys:
+        column = table.column(key).to_numpy()
+        change[1:] |= column[1:] != column[:-1]
+    return table.combine_chunks(), np.append(np.flatnonzero(change), table.num_rows)
 
 
 class Forest:
