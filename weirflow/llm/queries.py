@@ -7,13 +7,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import near_dedup
+from weirflow.llm import decontaminate, fingerprint, near_dedup
 from weirflow.session import read_table
 
 #: The table's words in DuckDB: A-Z lower-cased, split at the six white-space bytes.
 SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_robustness(read_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = f"""
+WITH dw AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents),
+iw AS (SELECT item_id, {SQL_WORDS} AS ws FROM benchmark),
+i AS (
+  SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) AS sh
+  FROM (SELECT item_id, ws, least(5, len(ws)) AS k FROM iw WHERE len(ws) > 0)),
+d AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) AS sh
+  FROM dw, (SELECT DISTINCT k FROM i) WHERE len(ws) >= k),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM i JOIN d USING (k, sh) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n AS n_shingles, n_shared / n AS containment
+FROM p JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n
+"""
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
@@ -24,7 +48,7 @@ s AS (
   SELECT DISTINCT doc_id, sh FROM (
     SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[])
       WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-      ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w)),
+      ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
@@ -35,5 +59,5 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
-QUERIES = {"op8_near_dedup": op8_near_dedup}
-ORACLES = {"op8_near_dedup": OP8_SQL}
+QUERIES = {"op4_fingerprint": op4_fingerprint, "op5_decontamination": op5_decontamination, "op8_near_dedup": op8_near_dedup}
+ORACLES = {"op5_decontamination": OP5_SQL, "op8_near_dedup": OP8_SQL}
