@@ -6,8 +6,9 @@ Each query applies its operator, with production parameters, to its whole table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weirflow.llm import decontaminate, fingerprint, near_dedup
+from weirflow.llm import decontaminate, fingerprint, language, near_dedup, toxicity
 from weirflow.session import read_table
 
 #: The table's words in DuckDB: A-Z lower-cased, split at the six white-space bytes.
@@ -38,6 +39,12 @@ FROM p JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out("doc_id"))
+    model = language.learn(docs.filter("not held_out"))
+    return language.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
@@ -59,5 +66,19 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
-QUERIES = {"op4_fingerprint": op4_fingerprint, "op5_decontamination": op5_decontamination, "op8_near_dedup": op8_near_dedup}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", toxicity.held_out("doc_id"))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out("doc_id"))
+    model = toxicity.learn(docs.filter("not held_out"), labels)
+    scored = toxicity.score(docs, model).select("doc_id", "held_out", "score")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+QUERIES = {
+    "op4_fingerprint": op4_fingerprint,
+    "op5_decontamination": op5_decontamination,
+    "op7_language_id": op7_language_id,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_toxicity": op9_toxicity,
+}
 ORACLES = {"op5_decontamination": OP5_SQL, "op8_near_dedup": OP8_SQL}
