@@ -8,13 +8,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import decontaminate, fingerprint, language, near_dedup, toxicity
+from weirflow.llm import decontaminate, fingerprint, language, near_dedup, packing, toxicity
 from weirflow.session import read_table
 
 #: The table's words in DuckDB: A-Z lower-cased, split at the six white-space bytes.
 SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.variable_packing(read_table(spark, sf_dir, "documents"))
+
+
+def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_ids(read_table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_robustness(read_table(spark, sf_dir, "documents"))
 
@@ -75,6 +83,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_packed_ids": op3_packed_ids,
     "op4_fingerprint": op4_fingerprint,
     "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
