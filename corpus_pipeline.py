@@ -1,8 +1,67 @@
-"""The corpus pipeline."""
+"""From documents to packed training sequences, in five stages.
 
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
+its result is written as Parquet and read again as the next one's docs. All but
+the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weirflow.llm import decontaminate, language, line_dedup, near_dedup, packing
+from weirflow.llm.scratch import Scratch
+from weirflow.session import read_table
+
+#: A prediction with a lower score is a rejection: far below that of one clean word.
+LEAST_SCORE = 0.1
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those that no machine tells apart."""
+    found = language.identify(docs, language.learn(docs))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes later occurrences of three-line windows; n_chars counts what stays."""
+    cleaned = line_dedup.dedup_lines(docs)
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    judged = near_dedup.near_duplicates(docs, width=5, num=80, den=100)
+    dropped = judged.filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+
+
+def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of benchmark."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences of the permitted lengths."""
+    return packing.variable_packing(docs)
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_each_group),
+    ("decontamination", drop_test_items),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can't express the learned and the searched stages; tests hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
+    return docs
