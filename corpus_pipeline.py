@@ -25,8 +25,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes later occurrences of three-line windows; n_chars counts what stays."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Removes later occurrences of three-line windows, and documents of which nothing stays; n_chars counts what stays."""
+    cleaned = line_dedup.dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
