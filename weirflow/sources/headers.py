@@ -16,7 +16,7 @@ def header_fields(content: Column, big_endian: bool = False) -> Column:
         places = range(at, at + size) if big_endian else range(at + size - 1, at - 1, -1)
         return F.conv(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in places]), 16, 10).cast("bigint")
 
-    ident = F.regexp_extract(F.decode(F.substring(content, 13, 128), F.lit("ISO-8859-1")), r"(?s)\A([^\x00]*)", 1)
+    ident = F.regexp_extract(F.decode(F.substring(content, 13, 128), "ISO-8859-1"), r"(?s)\A([^\x00]*)", 1)
     fields = F.struct(
         number(0, 2).cast("int").alias("magic"), number(2, 2).cast("int").alias("version"), number(4, 4).alias("flags"), number(8, 4).alias("num_blocks"), ident.alias("ident")
     )
