@@ -64,37 +64,41 @@ class Grams:
             yield base, [(gram, offsets), ((hashed >> np.uint64(64 - BITS)).astype(np.uint32), before)]
 
 
-def _shares(texts: pa.Array) -> np.ndarray:
-    """A row for each text: its shares of trigrams, then of words."""
-    out = np.zeros((len(texts), 2 << BITS), np.float32)
-    for base, kinds in Grams().features(texts):
-        for k, (feature, ahead) in enumerate(kinds):
-            for t in range(len(ahead) - 1):
-                own = feature[ahead[t] : ahead[t + 1]]
-                if len(own):
-                    out[base + t, k << BITS : (k + 1) << BITS] = np.bincount(own, minlength=1 << BITS) / len(own)
+def _shares(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text, the features that it has and their shares of its trigrams, or of its words."""
+    out = []
+    for _, kinds in Grams().features(texts):
+        for t in range(len(kinds[0][1]) - 1):
+            index, share = [], []
+            for k, (feature, ahead) in enumerate(kinds):
+                found, count = np.unique(feature[ahead[t] : ahead[t + 1]], return_counts=True)
+                index.append(found.astype(np.int64) + (k << BITS))
+                share.append(count / max(1, count.sum()))
+            out.append((np.concatenate(index), np.concatenate(share)))
     return out
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 40, strength: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_machine(rows: list[tuple], size: int, y: np.ndarray, rounds: int = 40, strength: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (squared hinge, dual coordinate steps); y is -1 or 1.
 
-    Both classes weigh the same in sum.
+    A row is (where, values): the places of its values among ``size`` features, as
+    indices or a slice. Both classes weigh the same in sum.
     """
     n = len(y)
     cost = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))) / strength / n
     slack = 1 / (2 * cost)
-    size = np.einsum("ij,ij->i", x, x) + 1.0 + slack
+    square = np.array([float(v @ v) for _, v in rows]) + 1.0 + slack
     alpha = np.zeros(n)
-    weights, bias = np.zeros(x.shape[1], x.dtype), 0.0
+    weights, bias = np.zeros(size), 0.0
     order = np.random.default_rng(7)
     for _ in range(rounds):
         for i in order.permutation(n):
-            gradient = y[i] * (float(x[i] @ weights) + bias) - 1 + alpha[i] * slack[i]
-            step = max(-alpha[i], -gradient / size[i])
+            where, values = rows[i]
+            gradient = y[i] * (float(weights[where] @ values) + bias) - 1 + alpha[i] * slack[i]
+            step = max(-alpha[i], -gradient / square[i])
             if step:
                 alpha[i] += step
-                weights += x[i] * x.dtype.type(step * y[i])
+                weights[where] += values * (step * y[i])
                 bias += step * y[i]
     return weights, bias
 
@@ -117,11 +121,14 @@ class Model:
         for x in languages:
             self.families.setdefault(of.get(x, x), []).append(x)
         pieces = [_piece(x) for x in texts.to_pylist()]
-        shares = np.concatenate([_shares(texts), _shares(pa.array(pieces, pa.string()))])
+        shares = _shares(texts) + _shares(pa.array(pieces, pa.string()))
         labels = labels * 2
-        scale = 1 / np.sqrt(shares.mean(0) + 1e-6)
-        shares *= scale
-        shares /= np.maximum(np.linalg.norm(shares, axis=1, keepdims=True), 1e-9)
+        mean = np.zeros(2 << BITS)
+        for where, values in shares:
+            mean[where] += values / len(shares)
+        scale = 1 / np.sqrt(mean + 1e-6)
+        shares = [(where, values * scale[where]) for where, values in shares]
+        shares = [(where, values / max(1e-9, float(np.sqrt(values @ values)))) for where, values in shares]
         label = np.array(labels)
         family = np.array([of.get(x, x) for x in labels])
         self.pairs: list[tuple[bool, str, str]] = [(True, a, b) for a, b in itertools.combinations(sorted(self.families), 2)]
@@ -131,7 +138,7 @@ class Model:
         for top, a, b in self.pairs:
             held = family if top else label
             rows = np.flatnonzero((held == a) | (held == b))
-            w, bias = fit_machine(shares[rows], np.where(held[rows] == a, 1.0, -1.0))
+            w, bias = fit_machine([shares[i] for i in rows], 2 << BITS, np.where(held[rows] == a, 1.0, -1.0))
             weights.append(w * scale)
             biases.append(bias)
         weights = np.array(weights or np.zeros((0, 2 << BITS)))

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weirflow.llm.scratch import Scratch
+
 LINES = 3
 
 
@@ -40,6 +42,8 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     windows = F.expr(f"transform(sequence(1, size(_lines) - {lines - 1}), i -> unhex(md5(array_join(slice(_lines, i, {lines}), '\\n'))))")
     found = docs.filter("text is not null").select(keyed[0].alias("_id"), keyed[1].alias("_own"), cut.alias("_lines")).filter(F.size("_lines") >= lines)
     found = found.select("_id", "_own", F.posexplode(windows).alias("_at", "_window"))
+    # Both the first occurrences and the later ones come from the windows: texts are cut into lines once.
+    found = Scratch(docs.sparkSession).keep(found, "windows")
 
     firsts = found.groupBy("_window").agg(F.min(F.struct("_id", "_at")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     later = found.join(firsts, "_window").filter("struct(_id, _at) > _first").select("_id", "_own", "_at").distinct()
@@ -50,11 +54,14 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     ranges = islands.groupBy("_id", "_own", "_island").agg(F.min("_at").alias("a"), (F.max("_at") + lines).alias("b"))
     ranges = ranges.groupBy("_id", "_own").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cut"))
 
-    joined = named.withColumn("_id", keyed[0]).withColumn("_own", keyed[1]).join(ranges, ["_id", "_own"], "left").withColumn("_lines", cut)
-    # What lies between the ranges, as [from, to) of lines.
-    stay = F.expr("filter(transform(sequence(0, size(_cut)), i -> struct(if(i = 0, 0, get(_cut, i - 1).b) as a, if(i = size(_cut), size(_lines), get(_cut, i).a) as b)), r -> r.b > r.a)")
-    text = F.expr("array_join(transform(_stay, r -> array_join(slice(_lines, r.a + 1, r.b - r.a), '\\n')), '\\n')")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    # The lines that lie between the ranges, in runs; only texts that lose some are cut up again.
+    cleaned = F.expr(
+        "array_join(transform(filter(transform(sequence(0, size(_cut)), i -> struct(if(i = 0, 0, get(_cut, i - 1).b) as a, if(i = size(_cut), _n, get(_cut, i).a) as b)),"
+        " r -> r.b > r.a), r -> array_join(slice(_lines, r.a + 1, r.b - r.a), '\\n')), '\\n')"
+    )
+    joined = named.withColumn("_id", keyed[0]).withColumn("_own", keyed[1]).join(ranges, ["_id", "_own"], "left")
+    joined = joined.withColumn("_n", n_lines.cast("int")).withColumn("_lines", F.when(F.col("_cut").isNotNull(), cut))
     removed = F.expr("coalesce(aggregate(_cut, 0, (n, r) -> n + r.b - r.a), 0)")
-    joined = joined.withColumn("_stay", stay)
-    out = [F.when(F.col("_cut").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in named.columns]
-    return joined.select(*out, F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    out = [F.when(F.col("_cut").isNull(), F.col("text")).otherwise(cleaned).alias("text") if c == "text" else F.col(f"`{c}`") for c in named.columns]
+    return joined.select(*out, F.col("_n").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))

@@ -218,7 +218,7 @@ class Model:
             y = np.where(np.arange(len(own) + len(against)) < len(own), 1.0, -1.0)
             own += [words[i] for i in against]
             x = _kernel_rows(own, rows) @ half
-            w, self.bias = fit_machine(x, y, 30, STRENGTH)
+            w, self.bias = fit_machine([(slice(None), row) for row in x.astype(float)], x.shape[1], y, 30, STRENGTH)
             self.weights = ((half @ w) @ rows).astype(np.float32)
             if r < ROUNDS - 1:
                 margin = margins([words[i] for i in clean], self.weights) + self.bias
