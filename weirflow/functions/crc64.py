@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 POLYNOMIAL = 0x42F0E1EBA9EA3693
 
@@ -33,7 +34,7 @@ def crc64_bytes(rows: list[bytes]) -> np.ndarray:
     return ~crc
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def crc64(data: pd.Series) -> pd.Series:
     """The 64 bits of the CRC as a signed BIGINT; show them with hex(). Null stays null."""
     known = data.notna().to_numpy()

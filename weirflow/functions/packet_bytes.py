@@ -17,25 +17,26 @@ def captured_hex(data: Column, caplen: Column | None = None) -> Column:
     return F.hex(data.substr(F.lit(1), F.coalesce(caplen.cast("int"), F.octet_length(data))))
 
 
-def _column(offset: Column | int) -> Column:
-    return F.lit(offset) if isinstance(offset, int) else offset
+def _column(value: Column | int | str) -> Column:
+    """A column of an offset or, given as a name, of the hex."""
+    return F.lit(value) if isinstance(value, int) else F.col(value) if isinstance(value, str) else value
 
 
-def holds(digits: Column, offset: Column | int, size: int) -> Column:
+def holds(digits: Column | str, offset: Column | int, size: int) -> Column:
     """Whether ``size`` bytes from ``offset`` on were captured."""
-    return F.coalesce((_column(offset) >= 0) & (_column(offset) + size <= F.length(digits) / 2), F.lit(False))
+    return F.coalesce((_column(offset) >= 0) & (_column(offset) + size <= F.length(_column(digits)) / 2), F.lit(False))
 
 
-def hex_at(digits: Column, offset: Column | int, size: int) -> Column:
+def hex_at(digits: Column | str, offset: Column | int, size: int) -> Column:
     """The hex of ``size`` bytes from a non-negative offset on, or null. The offset is named twice only: expressions stay small."""
-    piece = digits.substr(2 * _column(offset).cast("int") + 1, F.lit(2 * size))
+    piece = _column(digits).substr(2 * _column(offset).cast("int") + 1, F.lit(2 * size))
     return F.when(F.length(piece) == 2 * size, piece)
 
 
-def number_at(digits: Column, offset: Column | int, size: int) -> Column:
+def number_at(digits: Column | str, offset: Column | int, size: int) -> Column:
     """The unsigned number of ``size`` (up to 7) bytes as BIGINT, or null."""
     return F.conv(hex_at(digits, offset, size), 16, 10).cast("bigint")
 
 
-def bytes_at(digits: Column, offset: Column | int, size: int) -> Column:
+def bytes_at(digits: Column | str, offset: Column | int, size: int) -> Column:
     return F.unhex(hex_at(digits, offset, size))

@@ -27,7 +27,7 @@ RELAY = 3227017985
 NATIVE, TEREDO, ISATAP, SIX_TO_FOUR, AYIYA, OTHER_41 = range(1, 7)
 _PORTS = (6, 17, 132, 33)
 _ICMP = (1, 58)
-_HEX = F.col("_hex")
+_HEX = "_hex"
 
 
 def with_ethernet(packets: DataFrame) -> DataFrame:
