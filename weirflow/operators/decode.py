@@ -114,7 +114,7 @@ def with_ipv6(frames: DataFrame, at: str = "_inner") -> DataFrame:
         fragment = F.struct(F.when(holds(_HEX, s["up"], 8), number_at(_HEX, s["up"], 1)).alias("next"), (s["up"] + 8).alias("up")).cast(state)
         return F.when(s["next"] == 44, fragment).otherwise(s)
 
-    most = F.greatest(F.floor((F.length(_HEX) / 2 - F.col("_up1")) / 8) + 1, F.lit(0)).cast("int")
+    most = F.greatest(F.floor((F.length(_HEX) / 2 - F.col("_up1")) / 8) + 1, F.lit(1)).cast("int")
     skipped = F.aggregate(F.array_repeat(F.lit(0), most), start, skip)
     out = out.withColumn("_after", F.when(F.col("_next1") == 44, skipped).otherwise(start))
     return out.select("*", F.col("_after.next").alias("_protocol"), F.col("_after.up").alias("_up")).drop("_after", "_next1", "_up1", "_up0", "_next")
@@ -127,7 +127,7 @@ def with_upper(frames: DataFrame, protocol: str = "_protocol", at: str = "_up")
     sport, dport = number_at(_HEX, up, 2), number_at(_HEX, up + 2, 2)
     flags = F.when(proto == 6, number_at(_HEX, up + 13, 1)).when(has_ports, 0)
     icmp = number_at(_HEX, up, 1) * 256 + number_at(_HEX, up + 1, 1)
-    whole = F.when(has_ports, sport.isNotNull() & dport.isNotNull() & flags.isNotNull()).when(is_icmp, icmp.isNotNull()).otherwise(proto.isNotNull())
+    whole = F.when(has_ports, sport.isNotNull() & dport.isNotNull() & flags.isNotNull()).when(is_icmp, icmp.isNotNull()).otherwise(proto.isNotNull() & up.isNotNull())
     return frames.select(
         "*",
         F.when(has_ports, sport).when(is_icmp, 0).cast("int").alias("_sport"),

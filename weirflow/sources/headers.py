@@ -24,7 +24,7 @@ def header_fields(content: Column, big_endian: bool = False) -> Column:
 
 
 def read_headers(spark: SparkSession, path: str, big_endian: bool = False) -> DataFrame:
-    """path and header of each file; the header is null for short and empty files."""
+    """path and header of each file; the header is null for short files, and an empty file gives no row."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", header_fields(F.col("content"), big_endian).alias("header"))
 
