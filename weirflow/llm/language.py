@@ -2,12 +2,12 @@
 
 A linear support vector machine decides the language family first; within the
 family, one-versus-one linear support vector machines separate the related
-languages by vote. Features are shares of hashed character trigrams and words of
+languages by vote. Features are shares of hashed byte trigrams and pairs and of words of
 the whole text, so a machine's margin is a mean of weights over the text and no
 histogram is built.
 
 Training uses a bounded sample: at most SAMPLE labelled texts of each language,
-those with the smallest hash of their id, and a short piece of each. Prediction covers every row.
+those with the smallest hash of their id, and short pieces of each. Prediction covers every row.
 
 A text that is null or has no letter is ``und`` with score 0. Languages that the
 table FAMILIES doesn't know are families of their own. Without any labelled text
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,12 +37,14 @@ FAMILIES = {
 }
 #: Labelled texts of a language that are learned from, at most.
 SAMPLE = 400
-BITS = 13
+#: Short pieces learned of each text, at most.
+PIECES = 6
+BITS, KINDS = 13, 3
 UNKNOWN = "und"
 
 
 class Grams:
-    """Hashed trigram and word features of Arrow texts; holds one worker's tables."""
+    """Hashed trigram and word features of Arrow texts in lower case; holds one worker's tables."""
 
     def __init__(self) -> None:
         self.hasher = tk.WordHasher()
@@ -51,21 +54,24 @@ class Grams:
         self.fold = fold.astype(np.uint32)
 
     def features(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
-        """(first text, [(feature of each place, how many precede each text)] of trigrams, then of words)."""
-        for base, data, offsets in self.hasher.chunks(texts):
+        """(first text, [(feature of each place, how many precede each text)] of trigrams, pairs and words)."""
+        for base, data, offsets in self.hasher.chunks(pc.utf8_lower(texts.fill_null(""))):
             code = self.fold[data]
-            gram = code.copy()
-            gram[1:] |= code[:-1] << 8
-            gram[2:] |= code[:-2] << 16
-            gram[:2] |= 0x20202020 if len(data) < 3 else 0
-            gram *= np.uint32(0x9E3779B1)
-            gram >>= np.uint32(32 - BITS)
+            starts = offsets[:-1][np.diff(offsets) > 0]
+            before_it, before_that = np.empty_like(code), np.empty_like(code)
+            before_it[1:] = code[:-1]
+            before_it[starts] = 32  # what precedes a text is none of its own
+            before_that[1:] = before_it[:-1]
+            before_that[starts] = 32
+            pair = code | before_it << 8
+            gram = (pair | before_that << 16) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
+            pair = pair * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)
             hashed, _, _, before = self.hasher.words(data, offsets)
-            yield base, [(gram, offsets), ((hashed >> np.uint64(64 - BITS)).astype(np.uint32), before)]
+            yield base, [(gram, offsets), (pair, offsets), ((hashed >> np.uint64(64 - BITS)).astype(np.uint32), before)]
 
 
 def _shares(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text, the features that it has and their shares of its trigrams, or of its words."""
+    """For each text, the features that it has and their shares of its trigrams, of its pairs, or of its words."""
     out = []
     for _, kinds in Grams().features(texts):
         for t in range(len(kinds[0][1]) - 1):
@@ -103,11 +109,11 @@ def fit_machine(rows: list[tuple], size: int, y: np.ndarray, rounds: int = 40, s
     return weights, bias
 
 
-def _piece(text: str) -> str:
+def _piece(text: str, number: int) -> str:
     """A few words of a text, from a place that its length decides: short texts are learned beside whole ones."""
     words = text.split()
-    n = 2 + len(text) % 7
-    at = len(text) * 31 % max(1, len(words) - n + 1)
+    n = 1 + (len(text) + 3 * number) % 8
+    at = (len(text) * 31 + number * 7919) % max(1, len(words) - n + 1)
     return " ".join(words[at : at + n])
 
 
@@ -120,10 +126,12 @@ class Model:
         self.families: dict[str, list[str]] = {}
         for x in languages:
             self.families.setdefault(of.get(x, x), []).append(x)
-        pieces = [_piece(x) for x in texts.to_pylist()]
-        shares = _shares(texts) + _shares(pa.array(pieces, pa.string()))
-        labels = labels * 2
-        mean = np.zeros(2 << BITS)
+        # The fewer texts a language has, the more pieces of each.
+        rounds = {x: max(1, min(PIECES, SAMPLE // labels.count(x))) for x in languages}
+        pieces = [(_piece(text, k), x) for text, x in zip(texts.to_pylist(), labels, strict=True) for k in range(rounds[x])]
+        shares = _shares(texts) + _shares(pa.array([p for p, _ in pieces], pa.string()))
+        labels = labels + [x for _, x in pieces]
+        mean = np.zeros(KINDS << BITS)
         for where, values in shares:
             mean[where] += values / len(shares)
         scale = 1 / np.sqrt(mean + 1e-6)
@@ -138,12 +146,12 @@ class Model:
         for top, a, b in self.pairs:
             held = family if top else label
             rows = np.flatnonzero((held == a) | (held == b))
-            w, bias = fit_machine([shares[i] for i in rows], 2 << BITS, np.where(held[rows] == a, 1.0, -1.0))
+            w, bias = fit_machine([shares[i] for i in rows], KINDS << BITS, np.where(held[rows] == a, 1.0, -1.0))
             weights.append(w * scale)
             biases.append(bias)
-        weights = np.array(weights or np.zeros((0, 2 << BITS)))
+        weights = np.array(weights or np.zeros((0, KINDS << BITS)))
         self.scale = scale.astype(np.float32)
-        self.weights = np.ascontiguousarray(weights.T.reshape(2, 1 << BITS, -1)).astype(np.float32)
+        self.weights = np.ascontiguousarray(weights.T.reshape(KINDS, 1 << BITS, -1)).astype(np.float32)
         self.biases = np.array(biases)
 
     def predict(self, texts: pa.Array, grams: Grams) -> tuple[list[str], list[float]]:
@@ -173,8 +181,6 @@ class Model:
 
     @staticmethod
     def _letters(texts: pa.Array) -> list[bool]:
-        import pyarrow.compute as pc
-
         return pc.match_substring_regex(texts.fill_null(""), r"\p{L}").to_pylist()
 
     def _choose(self, margins: np.ndarray) -> tuple[str, float]:

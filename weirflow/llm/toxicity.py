@@ -36,7 +36,9 @@ TOXIC, CLEAN = 1500, 3000
 DECAY, SPAN, BITS = 0.7, 6, 16
 LANDMARKS, ROUNDS = 256, 4
 #: Dunning's statistic from which a word counts as a sign of toxic texts.
-SURE = 18
+SURE = 14
+#: The margin of what isn't there.
+NO_SIGN = -1.5
 STRENGTH = 2e-5
 EDGE = string.punctuation + "¡¿«»„“”‚‘’…–—"
 _OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
@@ -127,11 +129,11 @@ class Words:
         return [(int(a), "".join(chr(raw[first[i]]) for i in range(a, b)).lower()) for a, b in zip(at[:-1], at[1:], strict=True) if b - a > 2 and alone[a]]
 
 
-def _evidence(names: list[str], margin: np.ndarray, index: np.ndarray, before: np.ndarray) -> np.ndarray:
+def _evidence(margin: np.ndarray, index: np.ndarray, before: np.ndarray) -> np.ndarray:
     """For each text: its three highest margins, the logarithms of how many are positive and of how many words."""
     n = len(before) - 1
     out = np.zeros((n, 5))
-    out[:, :3] = -1.5
+    out[:, :3] = NO_SIGN
     occurring = margin[index]
     for t in range(n):
         own = occurring[before[t] : before[t + 1]]
@@ -185,10 +187,10 @@ class Model:
         self.weights, self.bias, self.logit = np.zeros(1 << BITS, np.float32), 0.0, None
         if not 0 < toxic.sum() < len(toxic):
             return
-        keep = _distinct(texts)
+        # Of each label apart: a copy with another label tells most.
+        kinds = [np.flatnonzero(toxic == k) for k in (0, 1)]
+        keep = np.sort(np.concatenate([rows[_distinct(texts.take(pa.array(rows)))] for rows in kinds]))
         texts, toxic = texts.take(pa.array(keep)), toxic[keep]
-        if not 0 < toxic.sum() < len(toxic):
-            return
         held: dict[str, list[int]] = {}
         for base, names, index, before in Words().bags(texts):
             for t in range(len(before) - 1):
@@ -224,7 +226,7 @@ class Model:
                 margin = margins([words[i] for i in clean], self.weights) + self.bias
                 hardest = clean[np.argsort(-margin, kind="stable")[:700]]
                 against = np.unique(np.concatenate([against, hardest]))
-        evidence = np.concatenate([_evidence(names, margins(names, self.weights) + self.bias, index, before) for _, names, index, before in Words().bags(texts)])
+        evidence = np.concatenate([_evidence(self.margins(names), index, before) for _, names, index, before in Words().bags(texts)])
         weight = np.where(toxic == 1, rate / n[1], (1 - rate) / n[0]) * len(toxic)
         self._fit_logit(_curves(evidence), toxic, weight)
 
@@ -239,12 +241,16 @@ class Model:
             curve = z.T @ (z * (weight * p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge)
             self.logit += np.linalg.solve(curve, z.T @ (weight * (y - p)) - ridge * self.logit)
 
+    def margins(self, words: list[str]) -> np.ndarray:
+        """Each word's distance from the border; words of nothing but punctuation tell nothing."""
+        return np.where([bool(w) for w in words], margins(words, self.weights) + self.bias, NO_SIGN)
+
     def scores(self, texts: pa.Array, words: Words) -> np.ndarray:
         if self.logit is None:
             return np.zeros(len(texts))
         out = np.zeros(len(texts))
         for base, names, index, before in words.bags(texts):
-            x = _curves(_evidence(names, margins(names, self.weights) + self.bias, index, before))
+            x = _curves(_evidence(self.margins(names), index, before))
             z = np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))])
             out[base : base + len(x)] = 1 / (1 + np.exp(-np.clip(z @ self.logit, -30, 30)))
         return out
