@@ -54,7 +54,7 @@ def texts():
     rng = random.Random(3)
     words = ["the", "über", "naïve", "x" * 40, "日本", "\n", "  ", "<|endoftext|>"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 30, 400, 3000])))) for i in range(60)]
-    return rows + [(100, None), (101, ""), (None, "null id"), (5, "again"), (5, "again")]
+    return rows + [(100, None), (101, ""), (None, "null id"), (400, "again"), (400, "again")]
 
 
 def test_packed_ids_round_trip(spark, texts, monkeypatch):
@@ -67,7 +67,7 @@ def test_packed_ids_round_trip(spark, texts, monkeypatch):
         ids, places = np.frombuffer(r.input_ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
         assert len(ids) == len(places) == 512 and r.cu_seqlens[0] == 0 and r.resets == r.cu_seqlens[:-1]
         assert (ids[r.cu_seqlens[-1] :] == 50256).all()
-        for d, start, a, b in zip(r.doc_ids, r.token_starts, r.cu_seqlens, r.cu_seqlens[1:], strict=True):
+        for d, start, a, b in zip(r.doc_ids, r.token_starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             assert places[a:b].tolist() == list(range(b - a))
             pieces.append((d, start, ids[a:b].tolist()))
     found = []

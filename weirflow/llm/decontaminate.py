@@ -38,7 +38,6 @@ from weirflow.llm import textkernel as tk
 FUNCTIONS = 64
 #: Items in a broadcast: their sketches take about half a KB each.
 BLOCK_ITEMS = 100_000
-SMALLEST_CAP = 16
 
 
 class ItemIndex:
@@ -52,9 +51,7 @@ class ItemIndex:
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         caps: dict[int, list[int]] = {}
         for k, found in enumerate(self.sets):
-            cap = SMALLEST_CAP
-            while cap < len(found):
-                cap *= 2
+            cap = 1 << (len(found) - 1).bit_length()
             caps.setdefault(cap, []).append(k)
         for cap, members in sorted(caps.items()):
             own = []
@@ -63,6 +60,7 @@ class ItemIndex:
                 order = np.argsort(minima, kind="stable")
                 own.append((minima[order], np.array(members)[order]))
             self.classes[cap] = own
+        self.smallest = min(self.classes, default=1)
         #: For each function, which top 16 bits a minimum of any class has: most windows end here.
         self.coarse = []
         for f in range(FUNCTIONS):
@@ -81,12 +79,12 @@ class ItemIndex:
         hits: list[np.ndarray] = []
         if not n_items or not len(found):
             return np.zeros(0, np.int64)
-        # Blocks of SMALLEST_CAP shingles that end with their text.
-        blocks = -(-counts // SMALLEST_CAP)
+        # Blocks of as many shingles as the smallest class's cap, which end with their text.
+        blocks = -(-counts // self.smallest)
         at = np.concatenate([[0], np.cumsum(blocks)])
         text = np.repeat(np.arange(n_texts), blocks)
-        start = ahead[:-1][text] + (np.arange(at[-1]) - at[:-1][text]) * SMALLEST_CAP
-        plans, cap, own_text = [], SMALLEST_CAP, text
+        start = ahead[:-1][text] + (np.arange(at[-1]) - at[:-1][text]) * self.smallest
+        plans, cap, own_text = [], self.smallest, text
         largest = max(self.classes)
         while cap <= largest:
             next_same = np.append(own_text[1:] == own_text[:-1], False)

@@ -10,7 +10,8 @@ and a rest; pieces are named by their first token, so nothing is lost.
 Packing goes on inside each input partition, in windows of at most WINDOW_DOCS
 documents and WINDOW_TOKENS tokens in the order of the input: nothing is shuffled
 and memory is bounded; a window leaves at most a few bins part empty. Rows are
-packed one by one, repeated and null ids, too. Equal lengths keep the input's
+packed one by one, repeated and null ids, too (pieces of long texts with one id can't
+be told apart, as ids name texts). Equal lengths keep the input's
 order. A bin's id is its partition's number times 2**40 plus its own number.
 """
 
