@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions import crc64
-from weirflow.functions.packet_bytes import captured_hex, hex_at, holds, number_at
+from weirflow.functions.packet_bytes import captured, hex_at, holds, number_at
 
 VLAN, IPV4, IPV6 = 0x8100, 0x0800, 0x86DD
 UDP, IPV6_IN_IPV4 = 17, 41
@@ -27,18 +27,18 @@ RELAY = 3227017985
 NATIVE, TEREDO, ISATAP, SIX_TO_FOUR, AYIYA, OTHER_41 = range(1, 7)
 _PORTS = (6, 17, 132, 33)
 _ICMP = (1, 58)
-_HEX = "_hex"
+_DATA = "_data"
 
 
 def with_ethernet(packets: DataFrame) -> DataFrame:
-    """Adds _hex, ethertype, vlan_id (0 if untagged) and _l3, the network header's offset; one VLAN tag is skipped."""
-    out = packets.withColumn("_hex", captured_hex(F.col("data"), F.col("caplen") if "caplen" in packets.columns else None))
-    outer = number_at(_HEX, 12, 2)
+    """Adds _data, ethertype, vlan_id (0 if untagged) and _l3, the network header's offset; one VLAN tag is skipped."""
+    out = packets.withColumn("_data", captured(F.col("data"), F.col("caplen") if "caplen" in packets.columns else None))
+    outer = number_at(_DATA, 12, 2)
     tagged = outer == VLAN
     return out.select(
         "*",
-        F.when(tagged, number_at(_HEX, 16, 2)).otherwise(outer).alias("ethertype"),
-        F.when(tagged, number_at(_HEX, 14, 2).bitwiseAND(F.lit(0x0FFF))).otherwise(F.lit(0)).cast("int").alias("vlan_id"),
+        F.when(tagged, number_at(_DATA, 16, 2)).otherwise(outer).alias("ethertype"),
+        F.when(tagged, number_at(_DATA, 14, 2).bitwiseAND(F.lit(0x0FFF))).otherwise(F.lit(0)).cast("int").alias("vlan_id"),
         F.when(tagged, 18).otherwise(14).alias("_l3"),
     )
 
@@ -48,11 +48,11 @@ def with_ipv4(frames: DataFrame) -> DataFrame:
     at = F.when(F.col("ethertype") == IPV4, F.col("_l3"))
     return frames.select(
         "*",
-        number_at(_HEX, at + 9, 1).alias("_proto4"),
-        number_at(_HEX, at + 2, 2).alias("_total4"),
-        number_at(_HEX, at + 12, 4).alias("_src4"),
-        number_at(_HEX, at + 16, 4).alias("_dst4"),
-        (at + 4 * number_at(_HEX, at, 1).bitwiseAND(F.lit(15))).cast("int").alias("_l4"),
+        number_at(_DATA, at + 9, 1).alias("_proto4"),
+        number_at(_DATA, at + 2, 2).alias("_total4"),
+        number_at(_DATA, at + 12, 4).alias("_src4"),
+        number_at(_DATA, at + 16, 4).alias("_dst4"),
+        (at + 4 * number_at(_DATA, at, 1).bitwiseAND(F.lit(15))).cast("int").alias("_l4"),
     )
 
 
@@ -60,7 +60,7 @@ def with_udp(frames: DataFrame) -> DataFrame:
     """Adds the outer UDP ports, the payload's length and its offset; null where it isn't UDP over IPv4."""
     at = F.when(F.col("_proto4") == UDP, F.col("_l4"))
     return frames.select(
-        "*", number_at(_HEX, at, 2).alias("_sport4"), number_at(_HEX, at + 2, 2).alias("_dport4"), (number_at(_HEX, at + 4, 2) - 8).alias("_udp_len"), (at + 8).alias("_payload")
+        "*", number_at(_DATA, at, 2).alias("_sport4"), number_at(_DATA, at + 2, 2).alias("_dport4"), (number_at(_DATA, at + 4, 2) - 8).alias("_udp_len"), (at + 8).alias("_payload")
     )
 
 
@@ -68,14 +68,14 @@ def with_tunnel_offsets(frames: DataFrame) -> DataFrame:
     """Adds _inner, where an IPv6 header may begin, _skipped (of Teredo), and _kind: ayiya, teredo, p41, native or null."""
     ayiya = (F.col("_sport4") == AYIYA_PORT) | (F.col("_dport4") == AYIYA_PORT)
     p = F.when(ayiya, F.col("_payload"))
-    sizes = number_at(_HEX, p, 1), number_at(_HEX, p + 1, 1)
+    sizes = number_at(_DATA, p, 1), number_at(_DATA, p + 1, 1)
     identity = F.pow(F.lit(2), F.shiftright(sizes[0], 4)).cast("int")
-    out = frames.select("*", F.coalesce(ayiya, F.lit(False)).alias("_ayiya"), number_at(_HEX, p + 4, 4).alias("_epoch"), (p + 8 + identity + 4 * F.shiftright(sizes[1], 4)).cast("int").alias("_ayiya_at"))
+    out = frames.select("*", F.coalesce(ayiya, F.lit(False)).alias("_ayiya"), number_at(_DATA, p + 4, 4).alias("_epoch"), (p + 8 + identity + 4 * F.shiftright(sizes[1], 4)).cast("int").alias("_ayiya_at"))
     q = F.when(~F.col("_ayiya"), F.col("_payload"))
-    auth = number_at(_HEX, q, 2) == 1
-    skipped = F.when(auth, 13 + number_at(_HEX, q + 2, 1) + number_at(_HEX, q + 3, 1)).otherwise(F.when(q.isNotNull(), 0))
+    auth = number_at(_DATA, q, 2) == 1
+    skipped = F.when(auth, 13 + number_at(_DATA, q + 2, 1) + number_at(_DATA, q + 3, 1)).otherwise(F.when(q.isNotNull(), 0))
     out = out.select("*", skipped.cast("int").alias("_auth"))
-    origin = number_at(_HEX, q + F.col("_auth"), 2) == 0
+    origin = number_at(_DATA, q + F.col("_auth"), 2) == 0
     out = out.select("*", (F.col("_auth") + F.when(origin, 8).otherwise(0)).alias("_skipped"))
     kind = (
         F.when(F.col("_ayiya"), "ayiya").when(F.col("_sport4").isNotNull(), "teredo").when(F.col("_proto4") == IPV6_IN_IPV4, "p41").when(F.col("ethertype") == IPV6, "native")
@@ -94,27 +94,27 @@ def with_ipv6(frames: DataFrame, at: str = "_inner") -> DataFrame:
     o = F.col(at)
     out = frames.select(
         "*",
-        F.shiftright(number_at(_HEX, o, 1), 4).cast("int").alias("_version"),
-        number_at(_HEX, o + 4, 2).alias("_plen"),
-        number_at(_HEX, o + 6, 1).alias("_next"),
-        hex_at(_HEX, o + 8, 16).alias("_src6"),
-        hex_at(_HEX, o + 24, 16).alias("_dst6"),
-        F.when(holds(_HEX, o, 40), o + 40).alias("_up0"),
+        F.shiftright(number_at(_DATA, o, 1), 4).cast("int").alias("_version"),
+        number_at(_DATA, o + 4, 2).alias("_plen"),
+        number_at(_DATA, o + 6, 1).alias("_next"),
+        hex_at(_DATA, o + 8, 16).alias("_src6"),
+        hex_at(_DATA, o + 24, 16).alias("_dst6"),
+        F.when(holds(_DATA, o, 40), o + 40).alias("_up0"),
     )
     hop = F.col("_next") == 0
     out = out.select(
         "*",
-        F.when(hop, number_at(_HEX, F.col("_up0"), 1)).otherwise(F.col("_next")).alias("_next1"),
-        F.when(hop, F.col("_up0") + 8 + 8 * number_at(_HEX, F.col("_up0") + 1, 1)).otherwise(F.col("_up0")).cast("int").alias("_up1"),
+        F.when(hop, number_at(_DATA, F.col("_up0"), 1)).otherwise(F.col("_next")).alias("_next1"),
+        F.when(hop, F.col("_up0") + 8 + 8 * number_at(_DATA, F.col("_up0") + 1, 1)).otherwise(F.col("_up0")).cast("int").alias("_up1"),
     )
     state = "struct<next:bigint,up:int>"
     start = F.struct(F.col("_next1").alias("next"), F.col("_up1").alias("up")).cast(state)
 
     def skip(s: Column, _: Column) -> Column:
-        fragment = F.struct(F.when(holds(_HEX, s["up"], 8), number_at(_HEX, s["up"], 1)).alias("next"), (s["up"] + 8).alias("up")).cast(state)
+        fragment = F.struct(F.when(holds(_DATA, s["up"], 8), number_at(_DATA, s["up"], 1)).alias("next"), (s["up"] + 8).alias("up")).cast(state)
         return F.when(s["next"] == 44, fragment).otherwise(s)
 
-    most = F.greatest(F.floor((F.length(_HEX) / 2 - F.col("_up1")) / 8) + 1, F.lit(1)).cast("int")
+    most = F.greatest(F.floor((F.octet_length(_DATA) - F.col("_up1")) / 8) + 1, F.lit(1)).cast("int")
     skipped = F.aggregate(F.array_repeat(F.lit(0), most), start, skip)
     out = out.withColumn("_after", F.when(F.col("_next1") == 44, skipped).otherwise(start))
     return out.select("*", F.col("_after.next").alias("_protocol"), F.col("_after.up").alias("_up")).drop("_after", "_next1", "_up1", "_up0", "_next")
@@ -124,9 +124,9 @@ def with_upper(frames: DataFrame, protocol: str = "_protocol", at: str = "_up")
     """Adds ports, TCP flags, ICMP type and code, and _whole: that the upper header's fields were all captured."""
     proto, up = F.col(protocol), F.col(at)
     has_ports, is_icmp = proto.isin(*_PORTS), proto.isin(*_ICMP)
-    sport, dport = number_at(_HEX, up, 2), number_at(_HEX, up + 2, 2)
-    flags = F.when(proto == 6, number_at(_HEX, up + 13, 1)).when(has_ports, 0)
-    icmp = number_at(_HEX, up, 1) * 256 + number_at(_HEX, up + 1, 1)
+    sport, dport = number_at(_DATA, up, 2), number_at(_DATA, up + 2, 2)
+    flags = F.when(proto == 6, number_at(_DATA, up + 13, 1)).when(has_ports, 0)
+    icmp = number_at(_DATA, up, 1) * 256 + number_at(_DATA, up + 1, 1)
     whole = F.when(has_ports, sport.isNotNull() & dport.isNotNull() & flags.isNotNull()).when(is_icmp, icmp.isNotNull()).otherwise(proto.isNotNull() & up.isNotNull())
     return frames.select(
         "*",
@@ -266,5 +266,5 @@ def export(records: DataFrame) -> dict[int, DataFrame]:
 
 def hex_dump(packets: DataFrame) -> DataFrame:
     """packet_id and the captured bytes as spaced hex, for debugging."""
-    digits = captured_hex(F.col("data"), F.col("caplen") if "caplen" in packets.columns else None)
-    return packets.select("packet_id", F.trim(F.regexp_replace(digits, "(..)", "$1 ")).alias("bytes"))
+    data = captured(F.col("data"), F.col("caplen") if "caplen" in packets.columns else None)
+    return packets.select("packet_id", F.trim(F.regexp_replace(F.hex(data), "(..)", "$1 ")).alias("bytes"))

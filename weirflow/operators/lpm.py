@@ -89,7 +89,7 @@ class PrefixTable:
 
     def lookup(self, probe: DataFrame, column: str, strategy: str = "auto") -> DataFrame:
         """``probe`` with matched and value for the address text in ``column``."""
-        return self._found(probe, A.address(F.col(column)), strategy)
+        return self._found(probe, A.address(F.col(column)), strategy, A.ipv4_address(F.col(column)))
 
     def lookup_raw(self, probe: DataFrame, column: str, strategy: str = "auto") -> DataFrame:
         """The same for addresses of 4 or 16 bytes."""
@@ -109,7 +109,8 @@ class PrefixTable:
         """The rows whose address no prefix covers."""
         return self.lookup(probe, column, strategy).filter("not matched").drop("matched", "value")
 
-    def _found(self, probe: DataFrame, address: Column, strategy: str) -> DataFrame:
+    def _found(self, probe: DataFrame, address: Column, strategy: str, ipv4: Column | None = None) -> DataFrame:
+        """The probe with its matches; ``ipv4`` is a cheaper form of ``address`` for tables of IPv4 alone."""
         if self.rows is None:
             return probe.withColumns({"matched": F.lit(False), "value": F.lit(None).cast("string")})
         lengths = [(r.family, r.plen, r.n) for r in self.rows.groupBy("family", "plen").agg(F.count("*").alias("n")).collect()]
@@ -117,7 +118,7 @@ class PrefixTable:
             few = sum(n for _, _, n in lengths) <= BROADCAST_ROWS
             plain = self.rows.schema["value"].dataType.typeName() == "string"
             strategy = "explode" if not few else "chain" if len(lengths) <= CHAIN_LENGTHS or not plain else "segments"
-        with_address = probe.withColumn("_a", address)
+        with_address = probe.withColumn("_a", address if ipv4 is None or any(f == 6 for f, _, _ in lengths) else ipv4)
         return {"chain": self._chain, "explode": self._explode, "segments": self._segments}[strategy](with_address, lengths).drop("_a")
 
     def _chain(self, probe: DataFrame, lengths: list[tuple[int, int, int]]) -> DataFrame:

@@ -28,7 +28,7 @@ _SEGMENT_NAME = "yyyy-MM-dd.HH.mm.ss"
 
 def base64_text(data: Column) -> Column:
     """Base64 without line breaks."""
-    return F.translate(F.base64(data), "\r\n", "")
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
 
 
 def base64_bytes(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import addresses as A
 from weirflow.functions import crc64
-from weirflow.functions.packet_bytes import captured_hex, number_at
+from weirflow.functions.packet_bytes import captured, number_at
 from weirflow.operators import decode, flows, transport
 from weirflow.operators.lpm import PrefixTable
 from weirflow.plans import inputs
@@ -330,8 +330,8 @@ def packet_sample(spark, sf_dir):
 def snap_length(spark, sf_dir):
     """Bytes beyond the captured length are invisible: of 14 captured bytes, the ethertype is all that is left."""
     cut = inputs.packets(spark, sf_dir).withColumn("caplen", F.lit(14)).filter("packet_id % 8 in (0, 1)")
-    digits = captured_hex(F.col("data"), F.col("caplen"))
-    return cut.select("packet_id", number_at(digits, 54, 2).alias("port"), number_at(digits, 12, 2).alias("ethertype"))
+    data = captured(F.col("data"), F.col("caplen"))
+    return cut.select("packet_id", number_at(data, 54, 2).alias("port"), number_at(data, 12, 2).alias("ethertype"))
 
 
 # Transport
