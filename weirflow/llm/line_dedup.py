@@ -11,7 +11,8 @@ line holds. Counts are pre-aggregated; the join of repeated windows with their
 first occurrence is a plain equi-join, which AQE splits where a window is in a
 third of all documents. Covered positions are merged by a window over one document
 at a time, sorted and spilled by Spark; nothing of a group is collected but a
-document's own ranges.
+document's own ranges. Texts are cut in Arrow batches: compiled into the join's
+code, that has at times taken the JVM's compiler over a GB.
 
 Documents of fewer lines than a window stay as they are; null text stays null. A
 document of which nothing stays has the empty text. Rows with equal id and text
@@ -21,8 +22,12 @@ unlike texts are judged apart, but neither counts as later at the same position.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weirflow.llm.scratch import Scratch
@@ -54,14 +59,26 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     ranges = islands.groupBy("_id", "_own", "_island").agg(F.min("_at").alias("a"), (F.max("_at") + lines).alias("b"))
     ranges = ranges.groupBy("_id", "_own").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cut"))
 
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    # The lines that lie between the ranges, in runs; only texts that lose some are cut up again.
-    cleaned = F.expr(
-        "array_join(transform(filter(transform(sequence(0, size(_cut)), i -> struct(if(i = 0, 0, get(_cut, i - 1).b) as a, if(i = size(_cut), _n, get(_cut, i).a) as b)),"
-        " r -> r.b > r.a), r -> array_join(slice(_lines, r.a + 1, r.b - r.a), '\\n')), '\\n')"
-    )
     joined = named.withColumn("_id", keyed[0]).withColumn("_own", keyed[1]).join(ranges, ["_id", "_own"], "left")
-    joined = joined.withColumn("_n", n_lines.cast("int")).withColumn("_lines", F.when(F.col("_cut").isNotNull(), cut))
-    removed = F.expr("coalesce(aggregate(_cut, 0, (n, r) -> n + r.b - r.a), 0)")
-    out = [F.when(F.col("_cut").isNull(), F.col("text")).otherwise(cleaned).alias("text") if c == "text" else F.col(f"`{c}`") for c in named.columns]
-    return joined.select(*out, F.col("_n").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    joined = joined.withColumn("_done", cut_lines("text", "_cut"))
+    out = [F.col("_done.text") if c == "text" else F.col(f"`{c}`") for c in named.columns]
+    return joined.select(*out, "_done.n_lines", "_done.n_removed")
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
+def cut_lines(text: pa.Array, cut: pa.Array) -> pa.Array:
+    """Each text without its lines in [a, b) of the sorted, disjoint ranges; texts without ranges pass untouched."""
+    n_lines = pc.if_else(text.is_valid(), pc.add(pc.fill_null(pc.count_substring(text, "\n"), 0), 1), 0)
+    removed, cleaned = np.zeros(len(text), np.int64), []
+    marked = np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False))
+    for i in marked.tolist():
+        lines, kept, at = text[i].as_py().split("\n"), [], 0
+        for r in cut[i].as_py():
+            kept += lines[at : r["a"]]
+            at = r["b"]
+            removed[i] += r["b"] - r["a"]
+        cleaned.append("\n".join(kept + lines[at:]))
+    mask = np.zeros(len(text), bool)
+    mask[marked] = True
+    done = pc.replace_with_mask(text, pa.array(mask), pa.array(cleaned, text.type))
+    return pa.StructArray.from_arrays([done, n_lines.cast(pa.int64()), pa.array(removed)], ["text", "n_lines", "n_removed"])
