@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import textkernel as tk
+from weirflow.llm.shipping import send
 
 FUNCTIONS = 64
 #: Items in a broadcast: their sketches take about half a KB each.
@@ -162,7 +163,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 5, num: int =
                         own = min(n, width)
                         found, _ = tk.shingles(hashed[before[t] : before[t + 1]], np.array([0, n]), own)
                         by_width.setdefault(own, []).append((ids[base + t], np.unique(found)))
-        sent = spark.sparkContext.broadcast([ItemIndex(x, w) for w, x in sorted(by_width.items())])
+        sent = send(spark, [ItemIndex(x, w) for w, x in sorted(by_width.items())])
         found = docs.mapInArrow(lambda batches, sent=sent: _search(sent.value, num, den)(batches), "doc_id long, item_id long, n_shared long, n_shingles long")
         parts.append(found)
     if not parts:

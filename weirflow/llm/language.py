@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirflow.llm import textkernel as tk
+from weirflow.llm.shipping import send
 
 #: Families of languages (ISO 639-1), fixed values.
 FAMILIES = {
@@ -223,7 +224,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs``, then lang_pred and score, from the column text alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text):

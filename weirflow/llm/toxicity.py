@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import textkernel as tk
 from weirflow.llm.language import fit_machine
+from weirflow.llm.shipping import send
 
 TOXIC, CLEAN = 1500, 3000
 DECAY, SPAN, BITS = 0.7, 6, 16
@@ -273,7 +274,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and the score of its column text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def scored(text):
