@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import textkernel as tk
+from weirflow.llm.scratch import small_batches
 
 LEVELS = 8
 #: Names kept of each section, coarsest first, and how many both texts need for it to decide.
@@ -200,6 +201,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     MOST_BUCKETS each) reach the driver. A text is shuffled once.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
     number = max(1, min(MOST_BUCKETS, docs.count() // BUCKET_ROWS))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / number for i in range(1, number)] or [0.5], 10 * MOST_BUCKETS)).first()[0] or []

@@ -226,12 +226,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs``, then lang_pred and score, from the column text alone."""
     sent = send(docs.sparkSession, model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(text):
-        import pandas as pd
-
-        names, scores = sent.value.predict(pa.array(text, pa.string()), Grams())
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(text: pa.Array) -> pa.Array:
+        names, scores = sent.value.predict(text, Grams())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*own, predict(F.col("text").cast("string")).alias("_found")).select(*own, "_found.lang_pred", "_found.score")

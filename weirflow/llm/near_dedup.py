@@ -277,6 +277,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     named = scratch.keep(named, "named")
+    for done in ("reps", "families"):
+        scratch.drop(done)
     out = sketched.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(root, doc_id))").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -9,11 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from weirflow.session import use_checkpoints
 
 
+#: Rows that Python gets at a time: texts are long, and several workers share an executor's memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_ROWS, if it is larger (or 0, without bound)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written below the session's checkpoint folder, read back from there."""
 
     def __init__(self, spark: SparkSession) -> None:
         use_checkpoints(spark)
+        small_batches(spark)
         self.spark = spark
         self.top = f"{spark.sparkContext.getCheckpointDir()}/weirflow-{uuid.uuid4().hex}"
 

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+from weirflow.llm.scratch import small_batches
+
 
 class Sent:
     """A broadcast object; ``value`` is unpacked once in each task."""
@@ -26,4 +28,5 @@ class Sent:
 
 
 def send(spark: SparkSession, value: Any) -> Sent:
+    small_batches(spark)
     return Sent(spark.sparkContext.broadcast(cloudpickle.dumps(value)))

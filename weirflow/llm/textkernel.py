@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at a time; a longer document is hashed on its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 

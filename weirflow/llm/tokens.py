@@ -10,6 +10,8 @@ import base64
 import tiktoken
 from pyspark.sql import SparkSession
 
+from weirflow.llm.scratch import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging, a fixed value of that tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -17,6 +19,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 def send(spark: SparkSession, path: str = VOCABULARY):
     """A broadcast of the vocabulary file (about 1 MB); opens as an encoding with encoding()."""
+    small_batches(spark)
     with open(path, "rb") as file:
         return spark.sparkContext.broadcast(file.read())
 

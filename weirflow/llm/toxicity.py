@@ -276,11 +276,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` and the score of its column text."""
     sent = send(docs.sparkSession, model)
 
-    @F.pandas_udf("double")
-    def scored(text):
-        import pandas as pd
-
-        return pd.Series(sent.value.scores(pa.array(text, pa.string()), Words()))
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(sent.value.scores(text, Words()), pa.float64())
 
     return docs.withColumn("score", scored(F.col("text").cast("string")))
 
