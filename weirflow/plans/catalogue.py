@@ -157,7 +157,7 @@ def lpm_info_v4(spark, sf_dir):
 x AS (SELECT event_id, ip, unnest([8, 16, 24, 32]) AS len FROM e)
 SELECT event_id, arg_max(v, len) AS label FROM x JOIN p USING (len) WHERE k = ip // (CAST(1 AS BIGINT) << (32 - len)) GROUP BY event_id""")
 def lpm_learned_table(spark, sf_dir):
-    return _learned(spark, sf_dir).lookup_number(inputs.with_ip(spark, sf_dir), "ip").select("event_id", F.col("value").alias("label"))
+    return _learned(spark, sf_dir).cache().lookup_number(inputs.with_ip(spark, sf_dir), "ip").select("event_id", F.col("value").alias("label"))
 
 
 _COVERED = "ip // 1048576 = 167772160 // 1048576 + 1"
