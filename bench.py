@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from weirflow.operators.lpm import PrefixTable
 from weirflow.plans import catalogue
 
-PREFIXES, PROBES = 500_000, 9_000_000
+PREFIXES, PROBES = 500_000, 3_000_000
 
 
 def prefix_table(spark: SparkSession) -> PrefixTable:
