@@ -216,5 +216,19 @@ def test_each_stage_takes_effect(spark, sf_dir, tmp_path):
     assert set(held["best_fit_packing"]) == set(held["decontamination"])
 
 
+def test_texts_in_no_learned_language_are_dropped(spark, sf_dir):
+    rng = random.Random(5)
+    foreign = [
+        "Każdy człowiek ma prawo do życia, wolności i bezpieczeństwa swej osoby, a nikt nie może być trzymany w niewoli lub w poddaństwie.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40)),
+        "SELECT a.id, b.qty, c.mkt FROM a JOIN b USING (id) JOIN c USING (key) WHERE b.qty > 10 AND c.idx < 7 GROUP BY a.id, b.qty, c.mkt;\n" * 3,
+    ]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    planted = spark.createDataFrame([(900_001 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    kept = corpus_pipeline.keep_known_languages(spark, docs.unionByName(planted), sf_dir)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()}
+
+
 def test_the_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100

@@ -12,6 +12,12 @@ those with the smallest hash of their id, and short pieces of each. Prediction c
 A text that is null or has no letter is ``und`` with score 0. Languages that the
 table FAMILIES doesn't know are families of their own. Without any labelled text
 everything is ``und``. Ids may repeat; rows are judged one by one.
+
+The score tells learned languages apart, and says nothing of text in none of them.
+Fluency does: how far a text's mean log probability of trigrams, under the language
+found, lies from that of labelled texts, in standard deviations for its length. Those
+are measured across folds of the sample, each under tables of the other folds. A
+language with fewer than FOLDS * 4 labelled texts has no measure; its fluency is 0.
 """
 
 from __future__ import annotations
@@ -42,6 +48,10 @@ SAMPLE = 400
 PIECES = 6
 BITS, KINDS = 13, 3
 UNKNOWN = "und"
+#: Parts of the sample that fluency is measured across.
+FOLDS = 5
+#: The hashed trigram of blanks, which no fluency counts.
+BLANK = (0x202020 * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - BITS)
 
 
 class Grams:
@@ -118,11 +128,54 @@ def _piece(text: str, number: int) -> str:
     return " ".join(words[at : at + n])
 
 
+class Fluency:
+    """How usual a text's trigrams are in each language, beside labelled texts of it."""
+
+    def __init__(self, languages: list[str], texts: pa.Array, labels: list[str]) -> None:
+        rows = []
+        for _, kinds in Grams().features(texts):
+            gram, ahead = kinds[0]
+            for a, b in zip(ahead[:-1].tolist(), ahead[1:].tolist(), strict=True):
+                rows.append(gram[a:b][gram[a:b] != BLANK])
+        numbers = {x: [i for i, label in enumerate(labels) if label == x] for x in languages}
+        counts = np.zeros((FOLDS, len(languages), 1 << BITS))
+        for k, x in enumerate(languages):
+            for j, i in enumerate(numbers[x]):
+                counts[j % FOLDS, k] += np.bincount(rows[i], minlength=1 << BITS)
+        total = counts.sum(axis=0)
+        self.tables = self._logs(total).astype(np.float32)
+        self.usual: list[tuple[float, float, float] | None] = [None] * len(languages)
+        without = [self._logs(total - counts[f]) for f in range(FOLDS)]
+        for k, x in enumerate(languages):
+            if len(numbers[x]) < FOLDS * 4:
+                continue
+            held = [without[j % FOLDS][k][rows[i]] for j, i in enumerate(numbers[x]) if len(rows[i])]
+            long = np.array([v.mean() for v in held if len(v) >= 100] or [v.mean() for v in held])
+            every = np.concatenate(held)
+            self.usual[k] = (float(long.mean()), float(long.var()), float(every.var()))
+
+    @staticmethod
+    def _logs(counts: np.ndarray) -> np.ndarray:
+        """Log probabilities; a part of each is of all languages, as texts quote others."""
+        own = (counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True)
+        return np.log(0.8 * own + 0.2 * own.mean(axis=0)) if len(own) else own
+
+    def of(self, k: int, gram: np.ndarray) -> float:
+        """Standard deviations of a text's trigrams from the mean of language number ``k``."""
+        gram = gram[gram != BLANK]
+        if self.usual[k] is None or not len(gram):
+            return 0.0
+        mean, between, within = self.usual[k]
+        # Three trigrams share a byte, so that they vary together.
+        return (float(self.tables[k][gram].mean(dtype=np.float64)) - mean) / float(np.sqrt(between + 3 * within / len(gram) + 1e-9))
+
+
 class Model:
     """The machines: one for each two families, and for each two languages of a family."""
 
     def __init__(self, languages: list[str], texts: pa.Array, labels: list[str]) -> None:
         self.languages = languages
+        self.fluency = Fluency(languages, texts, labels)
         of = {x: f for f, members in FAMILIES.items() for x in members}
         self.families: dict[str, list[str]] = {}
         for x in languages:
@@ -155,8 +208,9 @@ class Model:
         self.weights = np.ascontiguousarray(weights.T.reshape(KINDS, 1 << BITS, -1)).astype(np.float32)
         self.biases = np.array(biases)
 
-    def predict(self, texts: pa.Array, grams: Grams) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+    def predict(self, texts: pa.Array, grams: Grams, fluent: bool = False) -> tuple[list[str], list[float], list[float]]:
+        """Names, scores and, if asked for, fluencies of texts."""
+        names, scores, fluencies = [], [], []
         letters = self._letters(texts)
         for base, kinds in grams.features(texts):
             n = len(kinds[0][1]) - 1
@@ -178,7 +232,10 @@ class Model:
                 name, score = self._choose(margins[t]) if letters[base + t] and self.languages else (UNKNOWN, 0.0)
                 names.append(name)
                 scores.append(score)
-        return names, scores
+                if fluent:
+                    gram, ahead = kinds[0]
+                    fluencies.append(self.fluency.of(self.languages.index(name), gram[ahead[t] : ahead[t + 1]]) if name in self.languages else 0.0)
+        return names, scores, fluencies
 
     @staticmethod
     def _letters(texts: pa.Array) -> list[bool]:
@@ -222,17 +279,18 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(sorted(set(labels)), texts, labels)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs``, then lang_pred and score, from the column text alone."""
+def identify(docs: DataFrame, model: Model, fluent: bool = False) -> DataFrame:
+    """All columns of ``docs``, then lang_pred, score and, if asked for, fluency, from the column text alone."""
     sent = send(docs.sparkSession, model)
+    new = ["lang_pred", "score", "fluency"][: 3 if fluent else 2]
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf(", ".join(f"{c} {'string' if c == 'lang_pred' else 'double'}" for c in new))
     def predict(text: pa.Array) -> pa.Array:
-        names, scores = sent.value.predict(text, Grams())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        names, *numbers = sent.value.predict(text, Grams(), fluent)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(new) - 1]]], new)
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*own, predict(F.col("text").cast("string")).alias("_found")).select(*own, "_found.lang_pred", "_found.score")
+    own = [c for c in docs.columns if c not in new]
+    return docs.select(*own, predict(F.col("text").cast("string")).alias("_found")).select(*own, *[f"_found.{c}" for c in new])
 
 
 def held_out(doc_id: str) -> Column:
