@@ -49,6 +49,22 @@ def test_variable_packing_is_the_cheapest_of_its_limits():
     assert packing.pack_variable([], (8,), packing.sequence_cost) == ([], [])
 
 
+def test_variable_packing_is_no_dearer_than_any_fixed_opening():
+    rng = random.Random(6)
+    cost = packing.sequence_cost
+    narrow = [[rng.randint(a + 1, 2 * a) for _ in range(400)] for a in (256, 512, 1024)]
+    few_short = [rng.choice([600] * 9 + [80]) for _ in range(400)]
+    natural = [min(8192, int(rng.lognormvariate(6, 1))) + 1 for _ in range(400)]
+    for sizes in (*narrow, few_short, [min(8192, x) for x in natural], [5], [8192, 1]):
+        _, final = packing.pack_variable(sizes, packing.CAPACITIES, cost)
+        for floor in packing.CAPACITIES:
+            bins, opened = packing.best_fit(sizes, lambda size, left, floor=floor: min(c for c in packing.CAPACITIES if c >= max(size, floor)))
+            held = [0] * len(opened)
+            for size, b in zip(sizes, bins, strict=True):
+                held[b] += size
+            assert sum(map(cost, final)) <= sum(cost(min(c for c in packing.CAPACITIES if c >= h)) for h in held)
+
+
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(3)

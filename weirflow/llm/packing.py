@@ -17,6 +17,7 @@ order. A bin's id is its partition's number times 2**40 plus its own number.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Callable, Iterator
 
@@ -110,28 +111,53 @@ def best_fit(sizes: list[int], opened: Callable[[int, int], int]) -> tuple[list[
 def pack_variable(sizes: list[int], capacities: tuple[int, ...], cost: Callable[[int], float]) -> tuple[list[int], list[int]]:
     """Each piece's bin and each bin's capacity, at the least total cost of those tried.
 
-    A new bin gets the capacity with the least cost for each token that it can get
-    to hold. That is tried with each capacity as the largest opened for pieces
-    that fit a smaller one; bins are then downsized to the least capacity that
-    holds their contents, and the cheapest packing counts (the one with the smaller limit, if equal).
+    Tried are, with each capacity as a limit, new bins of the capacity with the least
+    cost for each token that they can get to hold, none above the limit but for pieces
+    that fit no smaller one; and, with each capacity as a floor, new bins of it or of the
+    least that fits. From the cheapest floor on, the opening of the pieces of each
+    least fitting capacity is changed alone, as long as that saves. After each try, bins are
+    downsized to the least capacity that holds their contents; the first of equal packings counts.
     """
     sizes_up = sorted(set(capacities))
     best: tuple[float, list[int], list[int]] | None = None
-    for limit in sizes_up:
-
-        def opened(size: int, left: int, limit: int = limit) -> int:
-            fitting = [c for c in sizes_up if c >= size]
-            chosen = [c for c in fitting if c <= limit] or fitting[:1]
-            return min(chosen, key=lambda c: (cost(c) / min(c, left), c))
 
+    def attempt(opened: Callable[[int, int], int]) -> float:
+        nonlocal best
         bins, opened_as = best_fit(sizes, opened)
         held = [0] * len(opened_as)
         for i, b in enumerate(bins):
             held[b] += sizes[i]
-        final = [next(c for c in sizes_up if c >= h) for h in held]
+        final = [sizes_up[bisect.bisect_left(sizes_up, h)] for h in held]
         total = sum(map(cost, final))
         if best is None or total < best[0]:
             best = (total, bins, final)
+        return total
+
+    for limit in sizes_up:
+
+        def limited(size: int, left: int, limit: int = limit) -> int:
+            fitting = [c for c in sizes_up if c >= size]
+            chosen = [c for c in fitting if c <= limit] or fitting[:1]
+            return min(chosen, key=lambda c: (cost(c) / min(c, left), c))
+
+        attempt(limited)
+
+    tried: dict[tuple[int, ...], float] = {}
+
+    def openings(plan: tuple[int, ...]) -> float:
+        """The total if the pieces whose least fitting capacity is number k open plan[k]."""
+        if plan not in tried:
+            tried[plan] = attempt(lambda size, left: plan[bisect.bisect_left(sizes_up, size)])
+        return tried[plan]
+
+    plan = min((tuple(max(c, floor) for c in sizes_up) for floor in sizes_up), key=openings)
+    present = {bisect.bisect_left(sizes_up, size) for size in sizes}
+    saves = True
+    while saves:
+        near = [(*plan[:k], c, *plan[k + 1 :]) for k in sorted(present) for c in sizes_up[k:]]
+        found = min(near, key=openings, default=plan)
+        saves = openings(found) < openings(plan)
+        plan = found if saves else plan
     return best[1:] if best else ([], [])
 
 
