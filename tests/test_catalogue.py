@@ -1,7 +1,9 @@
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
-from weirflow.plans import catalogue
+from weirflow.functions.packet_bytes import number_at
+from weirflow.plans import catalogue, inputs
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
@@ -13,6 +15,13 @@ def test_query_equals_its_oracle(spark, sf_dir, duck, name):
         assert frame.count() > 0
 
 
+def test_a_snap_length_query_covers_every_packet(spark, sf_dir):
+    packets = inputs.packets(spark, sf_dir).withColumn("whole", number_at(F.col("data"), 34, 2))
+    rows = packets.join(catalogue.QUERIES["snap_length_all"](spark, sf_dir), "packet_id").collect()
+    assert len(rows) == packets.count() and {r.packet_id % 8 for r in rows} == set(range(8))
+    assert all(r.port is None and r.whole is not None for r in rows)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 

@@ -334,6 +334,13 @@ def snap_length(spark, sf_dir):
     return cut.select("packet_id", number_at(data, 54, 2).alias("port"), number_at(data, 12, 2).alias("ethertype"))
 
 
+@query(f"SELECT packet_id, CAST(NULL AS BIGINT) AS port, CAST(CASE kind WHEN 0 THEN 34525 WHEN 1 THEN 33024 ELSE 2048 END AS BIGINT) AS ethertype FROM ({_PACKET})")
+def snap_length_all(spark, sf_dir):
+    """``snap_length`` over every packet, IPv4 and tunnels too."""
+    data = captured(F.col("data"), F.lit(14))
+    return inputs.packets(spark, sf_dir).select("packet_id", number_at(data, 54, 2).alias("port"), number_at(data, 12, 2).alias("ethertype"))
+
+
 # Transport
 
 @query("SELECT event_id, 'D ' || to_base64(encode(event_type)) AS line FROM events")
