@@ -133,13 +133,40 @@ def test_near_duplicates_equal_brute_force(spark, width, num):
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     """Lists and families of many blocks give what one block gives."""
-    for name, value in (("BLOCK", 4), ("BLOCK_SHINGLES", 600), ("HOT", 30)):
+    for name, value in (("BLOCK", 4), ("BLOCK_SHINGLES", 600), ("HUBS", 1)):
         monkeypatch.setattr(near_dedup, name, value)
     rows = copies(random.Random(3))
     got = [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85, 100).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute_components(rows, 3, 85, 100)))
 
 
+def test_near_duplicates_of_many_repeated_rows(spark):
+    """A row that a table repeats thousands of times, one id with several texts, and near copies of both."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base, other = [word() for _ in range(90)], [word() for _ in range(50)]
+    near = base[:40] + ["changed"] + base[41:]
+    rows = [(7, " ".join(base))] * 5000 + [(3, " ".join(near)), (9, " ".join(other)), (7, " ".join(other)), (12, "alone in this")]
+    got = {tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5), 3, 85, 100).collect()}
+    assert got == set(brute_components(list(dict.fromkeys(rows)), 3, 85, 100))
+
+
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    """Recall where every retained value that pairs share is in lists far longer than a block: texts are mostly one passage of all."""
+    for name, value in (("BLOCK", 16), ("HUBS", 2)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(300)]
+    rows = []
+    for i in range(150):
+        tail = [f"t{rng.randrange(10**6)}" for _ in range(rng.choice([5, 20, 40, 120]))]
+        rows.append((i * 5 % 151, " ".join(passage[: rng.choice([300, 300, 260])] + tail)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(passage + tail[:-2] + ["x"])))
+    got = [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85, 100).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_components(rows, 3, 85, 100)))
+
+
 def test_overlaps_counts_shared_values():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))).astype(np.uint64) for _ in range(70)]

@@ -14,8 +14,9 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     ``edges`` has columns a and b of one orderable type. Each round hooks every
     node's larger neighbours to its smallest one, then its smaller neighbours and
     itself to the smallest; after O(log n) rounds only stars are left. A round is
-    written to the shared folder, so the plan doesn't grow. Hubs are reduced with
-    partial minima; the joins back are plain equi-joins, which AQE splits where skewed.
+    written to the shared folder, so the plan doesn't grow. A hub's minimum is reduced
+    with partial minima and written, too, so that the join back is one of two plain
+    tables, which AQE splits where a hub has most of the edges.
     """
 
     def ordered(frame: DataFrame) -> DataFrame:
@@ -31,13 +32,14 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = scratch.keep(least, f"{name}-least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         i += 1
         before = state
         now, state = write(ordered(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))), i)
-        scratch.drop(f"{name}-{i - 1}")
+        scratch.drop(f"{name}-{i - 1}", f"{name}-least")
         if state == before:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

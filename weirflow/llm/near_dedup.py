@@ -1,37 +1,40 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
-A document's set holds its distinct word shingles. Its sketch is the KEEP
-smallest values of one hash over the set; its LISTED smallest values go to
-inverted lists. Documents that meet in a list are compared by their union sketch
-(how many of the smallest values of the union are in both); those that pass are
-gathered into candidate families, where the exact Jaccard similarity of full sets
+A document's set holds its distinct word shingles; its sketch retains the KEEP
+smallest values of one hash over the set. The retained values go to inverted lists,
+lists bring candidates together, the union sketch (how many of the smallest values of
+the union are in both) filters them, and the exact Jaccard similarity of full sets
 decides. Equal sets are collapsed first.
 
-No step emits all pairs of a group: a list or family is compared inside one task
-in blocks of at most BLOCK documents a side, which emit a spanning forest, so the
-rows grow with members, not with pairs, and memory is bounded.
-
-A retained value that more than HOT sets hold says little (a line that a third of
-all documents share). Sets with at least ENOUGH other listed values leave such
-lists: they meet their partners in the others.
-
-The chances that two sets at the threshold part: sharing no listed value
-(1 - t) ** ENOUGH or less, and a union sketch more than SIGMAS deviations below
-its mean; at 0.85, under 1e-8 each.
-
-Null or wordless texts have empty sets and are linked with nothing. Rows with a
-null id are returned, kept, with null component. Rows with equal id are one node.
+Which lists a set is in: two sets that the union sketch can pass share at least c
+retained values, so, put in any common order, their first ones but c - 1 have one in
+common. Lists are put in order of their length: a set leaves its c - 1 longest lists,
+and one that shares fewer than c values with any others is in none. That loses no pair
+that the filter would pass, at any length of the lists: a value that a third of all
+documents hold is simply the last one to be listed.
+
+No step emits all pairs of a group. First every member of a list, or of a family of
+candidates, meets the group's hub (its smallest id), which is linear. What is then in
+one component is settled; only members outside the largest component meet the others
+again, in blocks of at most BLOCK a side inside one task, which emit spanning forests.
+
+The chance that two similar sets part is that of a union sketch more than SIGMAS
+deviations below its mean, about 1e-9.
+
+Null or wordless texts have empty sets and are linked with nothing. Rows with a null
+id are returned, kept, with null component. Rows with equal id are one node, whatever
+their texts; repeated rows are compared once. An empty table gives an empty result.
+Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,9 +42,11 @@ from weirflow.llm import textkernel as tk
 from weirflow.llm.components import connected
 from weirflow.llm.scratch import Scratch
 
-KEEP, LISTED, HOT, ENOUGH, BLOCK, SIGMAS = 64, 16, 4096, 10, 1024, 6
-#: Shingles of a family's block a side, to bound a task's memory.
+KEEP, BLOCK, SIGMAS = 64, 1024, 6
+#: Shingles of a family's block, to bound a task's memory.
 BLOCK_SHINGLES = 2_000_000
+#: Members of a large family that each of its blocks meets at first, about.
+HUBS = 8
 #: Values of the larger sketches that stand for sets within a family.
 WIDE = 256
 
@@ -55,13 +60,13 @@ def _sketched(width: int):
         hasher = tk.WordHasher()
         for batch in batches:
             ids = batch.column(0)
-            sizes, keys, sketches, listed = [], [], [], []
+            sizes, keys, sketches, retained = [], [], [], []
             for i, found in enumerate(tk.shingle_sets(hasher, batch.column(1), width)):
                 sizes.append(len(found))
                 keys.append(hashlib.md5(found.tobytes() if len(found) else f"none {ids[i].as_py()}".encode()).digest())
                 sketches.append((found[:KEEP] >> np.uint64(32)).astype("<u4").tobytes())
-                listed.append(found[:LISTED].view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), tk.list_column(listed, pa.int64())], ["doc_id", "n_shingles", "set_key", "sketch", "listed"])
+                retained.append(found[:KEEP].view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), tk.list_column(retained, pa.int64())], ["doc_id", "n_shingles", "set_key", "sketch", "retained"])
 
     return run
 
@@ -112,20 +117,33 @@ def _union_sketch(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
     return ((twin & (rank <= KEEP)).sum(1)) >= _least_shared(k, share)
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A row for each sketch, filled up with the largest value."""
+    rows = column.to_pylist()
+    out = np.full((len(rows), KEEP), 0xFFFFFFFF, np.uint32)
+    sizes = np.array([len(x) // 4 for x in rows], np.int64)
+    out[np.arange(KEEP) < sizes[:, None]] = np.frombuffer(b"".join(rows), "<u4")
+    return out
+
+
+def _likely(share: float):
+    """The pairs (a, b) whose union sketches pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array(_union_sketch(_matrix(batch.column("sketch_a")), _matrix(batch.column("sketch_b")), share))
+            yield batch.select(["a", "b"]).filter(good)
+
+    return run
+
+
 def _listed_links(share: float):
     """Spanning forests of those in a list whose union sketches pass."""
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        out = np.full((len(column), KEEP), 0xFFFFFFFF, np.uint32)
-        flat = np.frombuffer(b"".join(column.to_pylist()), "<u4")
-        sizes = np.array([len(x) // 4 for x in column.to_pylist()])
-        out[np.arange(KEEP) < sizes[:, None]] = flat
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in tk.whole_runs(batches, ["value", "p", "q"]):
             ids = table.column("rep").to_numpy()
-            sketches = matrix(table.column("sketch").combine_chunks())
+            sketches = _matrix(table.column("sketch"))
             sizes = np.diff(at)
             left, right = [], []
             for c in np.unique(sizes[(sizes > 1) & (sizes <= 32)]):
@@ -175,13 +193,37 @@ def _parts(near: np.ndarray) -> Iterator[tuple[int, list[int]]]:
             yield i, members
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without rows that repeat the one before (they come sorted by root, p, q, doc_id and text)."""
+    last: tuple | None = None
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        again = np.zeros(rows, bool)
+        again[1:] = True
+        for key in ("root", "p", "q", "doc_id"):
+            own = batch.column(key).to_numpy(zero_copy_only=False)
+            again[1:] &= own[1:] == own[:-1]
+        texts = batch.column("text")
+        for i in np.flatnonzero(again).tolist():
+            again[i] = texts[i].as_py() == texts[i - 1].as_py()
+        ends = [tuple(batch.column(k)[i].as_py() for k in ("root", "p", "q", "doc_id", "text")) for i in (0, rows - 1)]
+        again[0] = ends[0] == last
+        last = ends[1]
+        yield batch.filter(pa.array(~again))
+
+
 def _exact_links(width: int, num: int, den: int):
-    """Spanning forests of the documents of a family whose full sets are similar enough."""
+    """Spanning forests of the documents of a family whose full sets are similar enough; those of one comp are linked already."""
 
-    def forest_of(sets: list[np.ndarray]) -> tk.Forest:
+    def forest_of(sets: list[np.ndarray], comp: np.ndarray) -> tk.Forest:
         n = len(sets)
         forest = tk.Forest(n)
         sizes = np.array([len(x) for x in sets])
+        first: dict[int, int] = {}
+        for i, c in enumerate(comp.tolist()):
+            forest.join(first.setdefault(c, i), i)
 
         def similar(i: int, j: int) -> bool:
             small, large = sorted((int(sizes[i]), int(sizes[j])))
@@ -216,14 +258,14 @@ def _exact_links(width: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = tk.WordHasher()
-        for table, at in tk.whole_runs(batches, ["root", "p", "q"]):
-            ids = table.column("doc_id").to_numpy()
+        for table, at in tk.whole_runs(_once(batches), ["root", "p", "q"]):
+            ids, comp = table.column("doc_id").to_numpy(), table.column("comp").to_numpy()
             texts = table.column("text").combine_chunks()
             a, b = [], []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if e - s < 2:
                     continue
-                forest = forest_of(list(tk.shingle_sets(hasher, texts.slice(s, e - s), width)))
+                forest = forest_of(list(tk.shingle_sets(hasher, texts.slice(s, e - s), width)), comp[s:e])
                 up = [forest.find(i) for i in range(e - s)]
                 a += [ids[s + i] for i, u in enumerate(up) if u != i]
                 b += [ids[s + u] for i, u in enumerate(up) if u != i]
@@ -232,16 +274,88 @@ def _exact_links(width: int, num: int, den: int):
     return run
 
 
-def _blocked(frame: DataFrame, key: str, node: str, blocks: str) -> DataFrame:
-    """Rows with the pairs of blocks (p, q) of their group in which they are compared.
+def _blocked(frame: DataFrame, node: str, blocks: Column, rest: Column, resting: Column) -> DataFrame:
+    """Rows with the places (p, q) of their group in which they are compared.
 
-    A group of one block has the pair (0, 0); else a row goes to each pair that
-    holds its own block, so that any two rows of the group meet.
+    A group of one block has the place (0, 0). Else p numbers the blocks of those
+    that rest, and q those of all members: a member goes to its own q with each p, and
+    one that rests to its own p with each q, too, so that it meets every member.
     """
-    own = F.pmod(F.xxhash64(node, key), F.col(blocks))
-    other = F.explode(F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), x -> x != own))"))
-    out = frame.withColumn("blocks", F.col(blocks).cast("long")).withColumn("own", own).withColumn("other", other)
-    return out.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("own", "other")
+    own, of_rest = F.pmod(F.xxhash64(node), blocks), F.pmod(F.xxhash64(node), F.greatest(rest, F.lit(1)))
+    place = lambda p, q: F.struct(p.cast("long").alias("p"), q.cast("long").alias("q"))
+    as_any = F.transform(F.sequence(F.lit(0).cast("long"), rest.cast("long") - 1), lambda r: place(r, own))
+    as_rest = F.transform(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1), lambda b: place(of_rest, b))
+    places = F.when(blocks <= 1, F.array(place(F.lit(0), F.lit(0)))).when(resting, F.array_distinct(F.concat(as_any, as_rest))).otherwise(as_any)
+    return frame.withColumn("place", F.explode(places)).withColumn("p", F.col("place.p")).withColumn("q", F.col("place.q")).drop("place")
+
+
+def _with_comp(frame: DataFrame, comps: DataFrame, node: str) -> DataFrame:
+    """Rows with their component so far: their own id where none is known."""
+    comps = comps.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return frame.join(comps, F.col(node) == F.col("_node"), "left").withColumn("comp", F.coalesce("_root", node)).drop("_node", "_root")
+
+
+def _unsettled(frame: DataFrame, group: str) -> DataFrame:
+    """group, main, n and rest of the groups with more than one component: the largest one, all members, and those outside it."""
+    sizes = frame.groupBy(group, "comp").agg(F.count("*").alias("n"))
+    out = sizes.groupBy(group).agg(F.max(F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n"))
+    return out.select(group, F.col("largest.comp").alias("main"), "n", (F.col("n") - F.col("largest.n")).alias("rest")).filter("rest > 0")
+
+
+def _families(reps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(node, root) of the sets that the lists and union sketches bring together."""
+    share = num / den
+    postings = reps.select("rep", "own", F.size("retained").alias("m"), F.explode("retained").alias("value"))
+    counts = postings.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    least = F.least(F.lit(int(_least_shared(KEEP, share))), F.ceil(F.col("m") * num / F.lit(den)))
+    longest_first = Window.partitionBy("rep", "own").orderBy(F.desc("n"), F.desc("value"))
+    lists = postings.join(counts, "value").withColumn("k", F.row_number().over(longest_first)).filter(F.col("k") >= F.greatest(least, F.lit(1))).select("value", "rep", "own")
+    lists = scratch.keep(lists, "lists")
+
+    hubs = scratch.keep(lists.groupBy("value").agg(F.min(F.struct("rep", "own")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("value", F.col("hub.rep").alias("hub"), F.col("hub.own").alias("hub_own")), "hubs")
+    stars = lists.join(hubs, "value").filter("rep != hub or own != hub_own").select("rep", "own", "hub", "hub_own").distinct()
+    member, hub = reps.select("rep", "own", F.col("sketch").alias("sketch_a")), reps.select(F.col("rep").alias("hub"), F.col("own").alias("hub_own"), F.col("sketch").alias("sketch_b"))
+    met = stars.join(member, ["rep", "own"]).join(hub, ["hub", "hub_own"]).select(F.col("rep").alias("a"), F.col("hub").alias("b"), "sketch_a", "sketch_b")
+    near = connected(met.mapInArrow(_likely(share), "a long, b long"), scratch, "hubbed")
+
+    placed = scratch.keep(_with_comp(lists, near, "rep"), "placed")
+    mixed = scratch.keep(_unsettled(placed, "value").filter("n > 2"), "mixed")
+    scratch.drop("lists", "hubs")
+    if mixed.isEmpty():
+        return near
+    rows = placed.join(mixed, "value").join(reps.select("rep", "own", "sketch"), ["rep", "own"])
+    rows = _blocked(rows, "rep", F.ceil(F.col("n") / BLOCK), F.ceil(F.col("rest") / BLOCK), F.col("comp") != F.col("main"))
+    rows = rows.select("value", "p", "q", "rep", "sketch").repartition("value", "p", "q").sortWithinPartitions("value", "p", "q", "rep")
+    links = rows.mapInArrow(_listed_links(share), "a long, b long")
+    return connected(links.unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, "candidate")
+
+
+def _links(docs: DataFrame, families: DataFrame, sizes: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(a, b) that connect the documents of each family whose full sets are similar enough."""
+    members = families.join(sizes, "node")
+    large = members.groupBy("root").agg(F.expr(f"ceil(greatest(count(*) / {BLOCK}, sum(n_shingles) / {BLOCK_SHINGLES}))").alias("blocks"))
+    members = scratch.keep(families.join(large, "root"), "members")
+
+    def verified(placed: DataFrame) -> DataFrame:
+        texts = docs.join(placed, F.col("doc_id") == F.col("node")).select("root", "p", "q", "doc_id", "comp", "text")
+        texts = texts.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "doc_id", "text")
+        return texts.mapInArrow(_exact_links(width, num, den), "a long, b long")
+
+    hub = (F.col("node") == F.col("root")) | (F.pmod(F.xxhash64("node", F.lit("hub")), F.ceil(F.col("blocks") * BLOCK / HUBS)) == 0)
+    chunks = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    first = verified(members.select("root", "node", F.explode(chunks).alias("p"), F.lit(0).cast("long").alias("q"), F.col("node").alias("comp")))
+    split = members.filter("blocks > 1")
+    if split.isEmpty():
+        return first
+    known = connected(first, scratch, "verified")
+    placed = scratch.keep(_with_comp(split, known, "node"), "split")
+    open_ = scratch.keep(_unsettled(placed, "root"), "open")
+    out = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if open_.isEmpty():
+        return out
+    rows = placed.join(open_, "root")
+    rest = F.ceil(F.col("rest") / F.col("n") * F.col("blocks"))
+    return out.unionByName(verified(_blocked(rows, "node", F.col("blocks"), rest, F.col("comp") != F.col("main")).select("root", "node", "p", "q", "comp")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -250,35 +364,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     ``docs`` has doc_id and text. Documents whose sets of ``width``-word shingles
     have den * intersection >= num * union are linked.
     """
-    spark, share = docs.sparkSession, num / den
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = scratch.keep(docs.mapInArrow(_sketched(width), "doc_id long, n_shingles long, set_key binary, sketch binary, listed array<long>"), "sketched")
+    sketched = scratch.keep(docs.mapInArrow(_sketched(width), "doc_id long, n_shingles long, set_key binary, sketch binary, retained array<long>"), "sketched")
     valid = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = valid.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = valid.join(classes, "set_key").filter("doc_id = rep").select("rep", "n_shingles", "sketch", "listed")
-    reps = scratch.keep(reps, "reps")
-
-    postings = reps.select("rep", F.explode("listed").alias("value"))
-    shared = postings.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    of_rep = Window.partitionBy("rep")
-    met = postings.join(shared, "value").withColumn("hot", F.sum(F.expr(f"int(n > {HOT})")).over(of_rep))
-    met = met.join(reps.select("rep", "sketch", F.size("listed").alias("of")), "rep").filter(f"n <= {HOT} or of - hot < {ENOUGH}")
-    met = met.select("rep", "value", "sketch", F.expr(f"ceil(n / {BLOCK})").alias("nb"))
-    met = _blocked(met, "value", "rep", "nb").select("value", "p", "q", "rep", "sketch").repartition("value", "p", "q").sortWithinPartitions("value", "p", "q", "rep")
-    families = scratch.keep(connected(met.mapInArrow(_listed_links(share), "a long, b long"), scratch, "candidate"), "families")
-
-    members = families.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    sizes = members.groupBy("root").agg(F.expr(f"ceil(greatest(count(*) / {BLOCK}, sum(n_shingles) / {BLOCK_SHINGLES}))").alias("nb"))
-    members = families.join(sizes, "root").withColumnRenamed("node", "doc_id")
-    texts = _blocked(docs.join(members, "doc_id"), "root", "doc_id", "nb")
-    texts = texts.select("root", "p", "q", "doc_id", "text").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "doc_id")
-    found = connected(texts.mapInArrow(_exact_links(width, num, den), "a long, b long"), scratch, "link")
-
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
+    # Equal sets have equal sketches: any one of them stands for all.
+    reps = valid.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "retained")])
+    reps = scratch.keep(reps.withColumn("own", F.xxhash64("set_key")), "reps")
+    families = scratch.keep(_families(reps, num, den, scratch), "families")
+    sizes = reps.groupBy(F.col("rep").alias("node")).agg(F.sum("n_shingles").alias("n_shingles"))
+    links = _links(docs, families, sizes, width, num, den, scratch)
+
+    # An id with several texts connects their sets.
+    several = valid.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x != y").select("doc_id")
+    several = valid.select("doc_id", "set_key").join(several, "doc_id").join(reps.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = connected(links.unionByName(several), scratch, "link")
+
+    named = reps.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     named = scratch.keep(named, "named")
-    for done in ("reps", "families"):
-        scratch.drop(done)
+    scratch.drop_all_but("sketched", "named")
     out = sketched.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(root, doc_id))").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
