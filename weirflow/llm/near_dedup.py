@@ -14,8 +14,8 @@ that the filter would pass, at any length of the lists: a value that a third of
 documents hold is simply the last one to be listed.
 
 No step emits all pairs of a group. First every member of a list, or of a family of
-candidates, meets the group's hub (its smallest id), which is linear. What is then in
-one component is settled; only members outside the largest component meet the others
+candidates, meets the group's hub (its smallest id), which is linear. What that
+connects is settled; only members outside the largest connected part meet the others
 again, in blocks of at most BLOCK a side inside one task, which emit spanning forests.
 
 The chance that two similar sets part is that of a union sketch more than SIGMAS
@@ -47,6 +47,8 @@ KEEP, BLOCK, SIGMAS = 64, 1024, 6
 BLOCK_SHINGLES = 2_000_000
 #: Members of a large family that each of its blocks meets at first, about.
 HUBS = 8
+#: Members of families that are broadcast at most, about 50 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Values of the larger sketches that stand for sets within a family.
 WIDE = 256
 
@@ -295,6 +297,17 @@ def _with_comp(frame: DataFrame, comps: DataFrame, node: str) -> DataFrame:
     return frame.join(comps, F.col(node) == F.col("_node"), "left").withColumn("comp", F.coalesce("_root", node)).drop("_node", "_root")
 
 
+def _labels(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, root): the smallest node that each node is linked with, and what that one is linked with.
+
+    Nodes of one root are connected; those of different roots may be, too.
+    """
+    least = links.filter("a != b").groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
+    least = scratch.keep(least, name)
+    onward = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return least.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+
+
 def _unsettled(frame: DataFrame, group: str) -> DataFrame:
     """group, main, n and rest of the groups with more than one component: the largest one, all members, and those outside it."""
     sizes = frame.groupBy(group, "comp").agg(F.count("*").alias("n"))
@@ -316,18 +329,14 @@ def _families(reps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFram
     stars = lists.join(hubs, "value").filter("rep != hub or own != hub_own").select("rep", "own", "hub", "hub_own").distinct()
     member, hub = reps.select("rep", "own", F.col("sketch").alias("sketch_a")), reps.select(F.col("rep").alias("hub"), F.col("own").alias("hub_own"), F.col("sketch").alias("sketch_b"))
     met = stars.join(member, ["rep", "own"]).join(hub, ["hub", "hub_own"]).select(F.col("rep").alias("a"), F.col("hub").alias("b"), "sketch_a", "sketch_b")
-    near = connected(met.mapInArrow(_likely(share), "a long, b long"), scratch, "hubbed")
+    near = scratch.keep(met.mapInArrow(_likely(share), "a long, b long"), "near")
 
-    placed = scratch.keep(_with_comp(lists, near, "rep"), "placed")
-    mixed = scratch.keep(_unsettled(placed, "value").filter("n > 2"), "mixed")
-    scratch.drop("lists", "hubs")
-    if mixed.isEmpty():
-        return near
+    placed = _with_comp(lists, _labels(near, scratch, "hubbed"), "rep")
+    mixed = _unsettled(placed, "value").filter("n > 2")
     rows = placed.join(mixed, "value").join(reps.select("rep", "own", "sketch"), ["rep", "own"])
     rows = _blocked(rows, "rep", F.ceil(F.col("n") / BLOCK), F.ceil(F.col("rest") / BLOCK), F.col("comp") != F.col("main"))
     rows = rows.select("value", "p", "q", "rep", "sketch").repartition("value", "p", "q").sortWithinPartitions("value", "p", "q", "rep")
-    links = rows.mapInArrow(_listed_links(share), "a long, b long")
-    return connected(links.unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, "candidate")
+    return connected(rows.mapInArrow(_listed_links(share), "a long, b long").unionByName(near), scratch, "candidate")
 
 
 def _links(docs: DataFrame, families: DataFrame, sizes: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -335,27 +344,26 @@ def _links(docs: DataFrame, families: DataFrame, sizes: DataFrame, width: int, n
     members = families.join(sizes, "node")
     large = members.groupBy("root").agg(F.expr(f"ceil(greatest(count(*) / {BLOCK}, sum(n_shingles) / {BLOCK_SHINGLES}))").alias("blocks"))
     members = scratch.keep(families.join(large, "root"), "members")
+    count, split = members.agg(F.count("*"), F.max("blocks")).first()
 
-    def verified(placed: DataFrame) -> DataFrame:
+    def verified(placed: DataFrame, few: bool) -> DataFrame:
+        # Most documents are in no family: few members spare the others the shuffle.
+        placed = F.broadcast(placed) if few else placed
         texts = docs.join(placed, F.col("doc_id") == F.col("node")).select("root", "p", "q", "doc_id", "comp", "text")
         texts = texts.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "doc_id", "text")
         return texts.mapInArrow(_exact_links(width, num, den), "a long, b long")
 
     hub = (F.col("node") == F.col("root")) | (F.pmod(F.xxhash64("node", F.lit("hub")), F.ceil(F.col("blocks") * BLOCK / HUBS)) == 0)
     chunks = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    first = verified(members.select("root", "node", F.explode(chunks).alias("p"), F.lit(0).cast("long").alias("q"), F.col("node").alias("comp")))
-    split = members.filter("blocks > 1")
-    if split.isEmpty():
+    first = verified(members.select("root", "node", F.explode(chunks).alias("p"), F.lit(0).cast("long").alias("q"), F.col("node").alias("comp")), count <= BROADCAST_ROWS)
+    if (split or 0) <= 1:
         return first
-    known = connected(first, scratch, "verified")
-    placed = scratch.keep(_with_comp(split, known, "node"), "split")
-    open_ = scratch.keep(_unsettled(placed, "root"), "open")
-    out = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    if open_.isEmpty():
-        return out
-    rows = placed.join(open_, "root")
+    first = scratch.keep(first, "first")
+    placed = _with_comp(members.filter("blocks > 1"), _labels(first, scratch, "verified"), "node")
+    rows = placed.join(_unsettled(placed, "root"), "root")
     rest = F.ceil(F.col("rest") / F.col("n") * F.col("blocks"))
-    return out.unionByName(verified(_blocked(rows, "node", F.col("blocks"), rest, F.col("comp") != F.col("main")).select("root", "node", "p", "q", "comp")))
+    rows = _blocked(rows, "node", F.col("blocks"), rest, F.col("comp") != F.col("main")).select("root", "node", "p", "q", "comp")
+    return first.unionByName(verified(rows, False))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
