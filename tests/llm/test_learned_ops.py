@@ -1,5 +1,8 @@
 """Language identification and toxicity: held-out accuracy, and awkward rows."""
 
+import itertools
+import math
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -32,13 +35,14 @@ def test_language_of_awkward_rows(spark):
     assert model.languages == ["de", "en", "es", "fr", "xx"] and model.families["xx"] == ["xx"]
     probe = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "123 !?", 9), (4, "der und die nicht", 9), (4, "der und die nicht", 9), (None, "the and of that " * 20_000, 9), (5, "zzz yyy", 9)], "doc_id long, text string, lang_pred int")
     found = language.identify(probe, model)
-    assert found.columns == ["doc_id", "text", "lang_pred", "score"]
-    got = [(r.doc_id, r.lang_pred) for r in found.collect()]
+    assert found.columns == ["doc_id", "text", "lang_pred", "lang_pred_", "score"]
+    got = [(r.doc_id, r.lang_pred_) for r in found.collect()]
+    assert {r.lang_pred for r in found.collect()} == {9}
     assert got == [(1, "und"), (2, "und"), (3, "und"), (4, "de"), (4, "de"), (None, "en"), (5, "xx")]
     nothing = language.identify(probe, language.learn(docs.limit(0)))
-    assert {(r.lang_pred, r.score) for r in nothing.collect()} == {("und", 0.0)}
+    assert {(r.lang_pred_, r.score) for r in nothing.collect()} == {("und", 0.0)}
     one = language.identify(probe, language.learn(docs.filter("lang = 'de'")))
-    assert [r.lang_pred for r in one.collect()] == ["und"] * 3 + ["de"] * 4
+    assert [r.lang_pred_ for r in one.collect()] == ["und"] * 3 + ["de"] * 4
 
 
 def test_the_sample_is_bounded_and_stable(spark, larger):
@@ -100,3 +104,90 @@ def test_folded_weights_equal_the_kernel():
     words = ["trash", "tr-ash", "whatever", "x", ""]
     assert np.allclose(toxicity._kernel_rows(words, rows) @ beta, toxicity.margins(words, (beta @ rows).astype(np.float32)), atol=1e-5)
     assert np.allclose(np.diag(toxicity._kernel_rows(marks, rows)), 1, atol=0.25)
+
+
+def subsequences(word):
+    """The gapped subsequences of three characters of a word and its ends, each with its weight."""
+    marked, out = f"\x02{word}\x03", {}
+    for i, j, k in itertools.combinations(range(len(marked)), 3):
+        if k - i < toxicity.SPAN:
+            key = marked[i] + marked[j] + marked[k]
+            out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def test_the_kernel_equals_brute_force():
+    """Hashing puts a few subsequences together; else the kernel is that of all common ones."""
+    words = ["blockhead", "block-head", "nitwit", "n.i.t.w.i.t", "weather", "thehehehe", "aaaaaaaa", "ab", "é日本"]
+    found = toxicity._kernel_rows(words, toxicity._dense(words))
+    held = [subsequences(w) for w in words]
+    for i, a in enumerate(held):
+        for j, b in enumerate(held):
+            size = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+            assert abs(found[i, j] - sum(v * b.get(k, 0) for k, v in a.items()) / size) < 0.06
+
+
+def test_scores_equal_brute_force(spark):
+    """Each text's score from its words, sentence by sentence."""
+    import numpy as np
+
+    docs, labels = taught(spark)
+    model = toxicity.learn(docs, labels)
+    texts = [r.text for r in docs.limit(30).collect()] + ["ka «blockhead»! lo", "n i t w i t", "é ü ñ ka", "ka", None, "... !!"]
+    for text, score in zip(texts, model.scores(pa.array(texts, pa.string()), toxicity.Words()), strict=True):
+        words, run = [], []
+        for w in [*(text or "").split(), None]:
+            if w is not None and len(w) == 1:
+                run.append(w)
+                continue
+            words += [*(["".join(run)] if len(run) > 2 else []), *[x.strip(toxicity.EDGE) for x in run]]
+            run = []
+            words += [w.strip(toxicity.EDGE)] if w is not None else []
+        worth = [float(toxicity.margins([w], model.weights)[0]) if w else 0.0 for w in words]
+        margin = sorted((sum(worth[i : i + n]) / math.sqrt(n) + model.bias for n in range(1, toxicity.WIDTH + 1) for i in range(len(words) - n + 1)), reverse=True)
+        x = np.array([*(margin[:3] + [toxicity.NO_SIGN] * 3)[:3], math.log1p(sum(m > 0 for m in margin)), math.log1p(len(margin))])
+        z = np.append((x - model.mean) / model.spread, 1) @ model.logit
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_languages_equal_brute_force(spark, larger):
+    """Each text's vote from its trigrams, pairs and words, one by one."""
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    model = language.learn(docs, sample=30)
+    rows = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + ["x", "12 ab 34", "É", "die the les los"]
+    names, scores, _ = model.predict(pa.array(rows, pa.string()), language.Grams())
+    hasher = language.tk.WordHasher()
+    for text, name, score in zip(rows, names, scores, strict=True):
+        data = text.lower().encode()
+        folded = [c if chr(c).isalpha() or c > 127 else 32 for c in data]
+        size = 32 - language.BITS
+        around = [32, 32, *folded]
+        grams = [(around[i + 2] | around[i + 1] << 8 | around[i] << 16) * 0x9E3779B1 % (1 << 32) >> size for i in range(len(folded))]
+        pairs = [(around[i + 2] | around[i + 1] << 8) * 0x85EBCA6B % (1 << 32) >> size for i in range(len(folded))]
+        words = [int(h) >> (64 - language.BITS) for _, d, o in hasher.chunks(pa.array([text.lower()])) for h in hasher.words(d, o)[0]]
+        margins, square = [0.0] * len(model.pairs), 0.0
+        for k, found in enumerate((grams, pairs, words)):
+            for f in set(found):
+                share = found.count(f) / len(found)
+                square += (share * float(model.scale[(k << language.BITS) + f])) ** 2
+                for p in range(len(model.pairs)):
+                    margins[p] += share * float(model.weights[k, f, p])
+        margins = [m / math.sqrt(square) + float(b) for m, b in zip(margins, model.biases, strict=True)]
+
+        def duel(top, candidates, margins=margins):
+            won = {x: [m if a == x else -m for (level, a, b), m in zip(model.pairs, margins, strict=True) if level == top and x in (a, b) and {a, b} <= set(candidates)] for x in candidates}
+            best = max(candidates, key=lambda x: (sum(m > 0 for m in won[x]), sum(won[x])))
+            return best, 1.0 if len(candidates) == 1 else 1 / (1 + math.exp(-3 * min(won[best])))
+
+        family, sure = duel(True, sorted(model.families))
+        expected, surer = duel(False, model.families[family])
+        assert name == expected and abs(score - sure * surer) < 1e-4
+
+
+def test_clashing_columns_pass(spark):
+    docs = spark.createDataFrame([(1, "der und die", "de", 7.5, "k", 3)], "doc_id long, text string, lang string, score double, `a.b` string, fluency int")
+    found = language.identify(docs, language.learn(docs), fluent=True).first()
+    assert (found["score"], found["a.b"], found["fluency"], found["lang_pred"]) == (7.5, "k", 3, "de") and "score_" in found and "fluency_" in found
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels)).first()
+    assert (scored["score"], scored["score_"], scored["a.b"]) == (7.5, 0.0, "k")

@@ -81,11 +81,21 @@ def test_line_dedup_on_awkward_rows(spark):
     rows += [(200, "only here 1\nonly here 2\nonly here 3")] * 2
     frame = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "'k' as _at", "doc_id as n_lines", "1 as `odd.name`")
     found = line_dedup.dedup_lines(frame)
-    assert found.columns == ["doc_id", "text", "_at", "odd.name", "n_lines", "n_removed"]
-    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in found.collect()]
+    assert found.columns == ["doc_id", "text", "_at", "n_lines", "odd.name", "n_lines_", "n_removed"]
+    got = [(r.doc_id, r.text, r.n_lines_, r.n_removed) for r in found.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute_lines(rows)))
 
 
+def test_line_dedup_of_one_id_with_two_texts_and_clashing_names(spark):
+    rows = [(1, "a\nb\nc\nx"), (1, "a\nb\nc\ny"), (2, "a\nb\nc")]
+    frame = spark.createDataFrame(rows, DOCS).selectExpr("*", "77 as _id", "78 as _cut", "79 as n_lines", "80 as `a.b`")
+    found = line_dedup.dedup_lines(frame)
+    assert found.columns == ["doc_id", "text", "_id", "_cut", "n_lines", "a.b", "n_lines_", "n_removed"]
+    got = found.collect()
+    assert all((r["_id"], r["_cut"], r["n_lines"], r["a.b"]) == (77, 78, 79, 80) for r in got)
+    assert sorted(r.n_removed for r in got if r.doc_id == 1) == [0, 3] and [r.text for r in got if r.doc_id == 2] == [""]
+
+
 # Near-dedup
 
 
@@ -222,6 +232,34 @@ def test_contamination_equals_brute_force(spark, monkeypatch):
     assert sorted(x for x in kept if x is not None) == sorted(d for d, _ in docs if d is not None and d not in {e[0] for e in expected}) and None in kept
 
 
+def test_scattered_items_are_found(spark):
+    """Recall of items of which all, or 0.8, lie in pieces across a document hundreds of times as long."""
+    rng = random.Random(13)
+    items, docs = [], []
+    for i in range(40):
+        words = [f"i{i}w{k}" for k in range(rng.choice([30, 60, 200]))]
+        items.append((i, " ".join(words)))
+        pieces = [words[a : a + 15] for a in range(0, len(words), 15)]
+        if i % 2:
+            pieces = pieces[: max(1, round(len(pieces) * 0.9))]
+        body = [f"n{rng.randrange(10**6)}" for _ in range(20_000)]
+        for p, at in zip(pieces, sorted(rng.sample(range(20_000), len(pieces)), reverse=True), strict=True):
+            body[at:at] = p
+        docs.append((i, " ".join(body)))
+    found = decontaminate.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), num=60)
+    expected = {i for (i, d), (_, t) in zip(docs, items, strict=True) if 100 * len(shingle_set(t, 5) & shingle_set(d, 5)) >= 60 * len(shingle_set(t, 5))}
+    got = {r.doc_id for r in found.collect()}
+    assert len(expected) > 30 and got <= expected and len(got) >= 0.95 * len(expected)
+
+
+def test_decontaminate_passes_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "q w e r t y u"), (2, "else")], DOCS).selectExpr("*", "5 as held_id", "6 as item_id", "7 as `a.b`")
+    items = spark.createDataFrame([(9, "w e r t y")] * 300, "item_id long, text string").selectExpr("*", "1 as key", "2 as minima")
+    kept = decontaminate.decontaminate(docs, items).collect()
+    assert [(r.doc_id, r.held_id, r.item_id, r["a.b"]) for r in kept] == [(2, 5, 6, 7)]
+    assert decontaminate.contamination(docs, items).count() == 300
+
+
 # Fingerprints
 
 

@@ -121,6 +121,20 @@ def test_variable_packing_covers_every_token_once(spark, texts):
     assert packing.variable_packing(spark.createDataFrame([], DOCS)).count() == packing.packed_ids(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_long_runs_are_packed_whole(spark):
+    rows = [(1, " " * 10_000_000), (2, "\n" * 300_000 + "x"), (3, "a" * 1_000_000), (4, "日" * 50_000)]
+    frame = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as n_tokens", "2 as bin_id")
+    enc = tokens.encoding(open(tokens.VOCABULARY, "rb").read())
+    lengths = {r.doc_id: r.n for r in packing.variable_packing(frame).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    ids = {d: tokens.ids(enc, t) for d, t in rows}
+    assert all(enc.decode(ids[d].tolist()) == t and lengths[d] == len(ids[d]) + 1 for d, t in rows)
+    held = {}
+    for r in packing.packed_ids(frame, sequence=2048).collect():
+        for d, start, a, b in zip(r.doc_ids, r.token_starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
+            held.setdefault(d, {})[start] = np.frombuffer(r.input_ids, "<u2")[a:b]
+    assert all(np.concatenate([own[k] for k in sorted(own)])[:-1].tolist() == ids[d].tolist() for d, own in held.items())
+
+
 # URL filters
 
 
@@ -132,7 +146,7 @@ def brute_scores(edges, seeds):
     t, b = dict(trust), dict(block)
     out = {h: [d for s, d in edges if s == h] for h in seeds}
     into = {h: [s for s, d in edges if d == h] for h in seeds}
-    for _ in range(url_filter.ROUNDS):
+    for _ in range(150):
         nt = {h: 0.15 * trust[h] + 0.85 * sum(t[s] / len(out[s]) for s in into[h]) for h in seeds}
         b = {h: 0.15 * block[h] + 0.85 * sum(b[d] / len(into[d]) for d in out[h]) for h in seeds}
         t = nt
@@ -164,6 +178,25 @@ def test_propagation_equals_brute_force(spark):
         assert got[i].verdict == expected and got[i].host == host
 
 
+def test_distrust_reaches_hosts_many_links_away_as_in_sql(spark):
+    """A chain of thirty hosts that ends at a blocked one: propagation goes on until it is done, and equals the SQL."""
+    import duckdb
+
+    from weirflow.llm import queries
+
+    hosts = [f"c{i}.io" for i in range(30)] + ["end.net"]
+    pages = [(i, f"http://{h}/p", f'<a href="http://{hosts[i + 1]}/">' if i < 30 else None) for i, h in enumerate(hosts)]
+    pages += [(100 + i, f"http://lone{i}.io/", "") for i in range(200)]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    expected = {r[0]: r[1:] for r in con.execute(queries.ORACLES["op6_url_filter"]).fetchall()}
+    assert got == expected
+    # 231 hosts: 0.15 * 0.85 ** d * 231 > 0.5 up to 26 links away.
+    assert [got[i][3] for i in range(30)] == ["allow"] * 4 + ["block"] * 26
+
+
 def test_url_parts_and_rules(spark):
     cases = [
         ("HTTP://A.Example.NET/en/x?y", "a.example.net", "/en/x", "example.net/en/", "allow"), ("x://net", "net", "", None, "allow"), ("x://net/", "net", "/", "net/", "block"),
@@ -246,5 +279,18 @@ def test_texts_in_no_learned_language_are_dropped(spark, sf_dir):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_stages_pass_clashing_columns_and_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("score", "lang_pred", "fluency", "n_lines", "n_removed", "_id", "_own", "_cut", "_done", "_found", "held_id", "dropped_id", "a.b"))])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, sf_dir)
+        assert out.columns == more.columns, name
+        row = out.first()
+        assert all(row[c] == i for i, c in enumerate(more.columns[5:])), name
+        assert {r.doc_id for r in out.collect()} == {r.doc_id for r in stage(spark, docs, sf_dir).collect()}, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.pack(spark, more, sf_dir).count() > 0 and corpus_pipeline.pack(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_the_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100

@@ -34,8 +34,9 @@ KEPT, DECISIVE = (48, 24, 24), 8
 #: Bytes a name of a section stands for at most on average; beyond that the text repeats itself so much that
 #: the section, in which equal neighbours are one, says little, and is left empty.
 LONGEST = (64, 24, 1 << 40)
-#: Rows of a bucket of the order by id; at most MOST_BUCKETS bounds reach the driver.
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 4_096
+#: Rows of a bucket of the order by id; at most MOST_BUCKETS bounds reach the driver (beyond 131 million rows, buckets
+#: grow: they are sorted and streamed, so a task's memory doesn't).
+BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
 
 
 def _toss_table(bits: int) -> np.ndarray:
@@ -204,7 +205,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
     number = max(1, min(MOST_BUCKETS, docs.count() // BUCKET_ROWS))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / number for i in range(1, number)] or [0.5], 10 * MOST_BUCKETS)).first()[0] or []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / number for i in range(1, number)] or [0.5], max(10_000, 10 * number))).first()[0] or []
     cuts = np.unique(np.array(cuts if number > 1 else [], np.int64))
 
     @F.pandas_udf("int")

@@ -7,11 +7,14 @@ the whole text, so a machine's margin is a mean of weights over the text and no
 histogram is built.
 
 Training uses a bounded sample: at most SAMPLE labelled texts of each language,
-those with the smallest hash of their id, and short pieces of each. Prediction covers every row.
+those with the smallest hash of their id, and short pieces of each; texts of more than
+LONGEST characters aren't learned from, nor languages beyond the MOST_LANGUAGES with
+the most labels. Prediction covers every row and whole texts.
 
 A text that is null or has no letter is ``und`` with score 0. Languages that the
 table FAMILIES doesn't know are families of their own. Without any labelled text
-everything is ``und``. Ids may repeat; rows are judged one by one.
+everything is ``und``. Ids may repeat; rows are judged one by one. All columns pass
+unchanged: if one has the name of a result, the result's name is that of fresh().
 
 The score tells learned languages apart, and says nothing of text in none of them.
 Fluency does: how far a text's mean log probability of trigrams, under the language
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirflow.llm import textkernel as tk
+from weirflow.llm.scratch import column, fresh
 from weirflow.llm.shipping import send
 
 #: Families of languages (ISO 639-1), fixed values.
@@ -44,6 +48,8 @@ FAMILIES = {
 }
 #: Labelled texts of a language that are learned from, at most.
 SAMPLE = 400
+#: Characters of a text that is learned from, and languages that are, at most.
+LONGEST, MOST_LANGUAGES = 50_000, 64
 #: Short pieces learned of each text, at most.
 PIECES = 6
 BITS, KINDS = 13, 3
@@ -265,8 +271,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     At most ``sample`` rows of a language reach the driver: those with the smallest
     hash of their id, found with a partial top-k of each hash bucket.
     """
-    rows = labelled.filter("text is not null and lang is not null").select("lang", "text", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.filter(f"text is not null and lang is not null and length(text) <= {LONGEST}").select("lang", "text", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    rows = rows.filter(F.col("lang").isin(*counts))
     if counts:
         # About twice the sample by hash alone, before anything is sorted.
         wide = {x: min(1.0, 2 * sample / n + 20 / n) for x, n in counts.items()}
@@ -282,15 +289,16 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 def identify(docs: DataFrame, model: Model, fluent: bool = False) -> DataFrame:
     """All columns of ``docs``, then lang_pred, score and, if asked for, fluency, from the column text alone."""
     sent = send(docs.sparkSession, model)
-    new = ["lang_pred", "score", "fluency"][: 3 if fluent else 2]
+    kinds = {"lang_pred": "string", "score": "double"} | ({"fluency": "double"} if fluent else {})
+    found, *new = fresh(docs.columns, "_found", *kinds)
 
-    @F.arrow_udf(", ".join(f"{c} {'string' if c == 'lang_pred' else 'double'}" for c in new))
+    @F.arrow_udf(", ".join(f"{c} {kind}" for c, kind in kinds.items()))
     def predict(text: pa.Array) -> pa.Array:
         names, *numbers = sent.value.predict(text, Grams(), fluent)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(new) - 1]]], new)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(kinds) - 1]]], list(kinds))
 
-    own = [c for c in docs.columns if c not in new]
-    return docs.select(*own, predict(F.col("text").cast("string")).alias("_found")).select(*own, *[f"_found.{c}" for c in new])
+    own = [column(c) for c in docs.columns]
+    return docs.select(*own, predict(F.col("text").cast("string")).alias(found)).select(*own, *[column(found)[c].alias(name) for c, name in zip(kinds, new, strict=True)])
 
 
 def held_out(doc_id: str) -> Column:

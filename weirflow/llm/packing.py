@@ -7,12 +7,15 @@ capacity. Each document ends with an end-of-text token, so an empty or null text
 takes one token. A text longer than the largest capacity is cut into pieces of it
 and a rest; pieces are named by their first token, so nothing is lost.
 
-Packing goes on inside each input partition, in windows of at most WINDOW_DOCS
-documents and WINDOW_TOKENS tokens in the order of the input: nothing is shuffled
+Packing goes on inside each input partition, in windows that end at WINDOW_DOCS
+documents or WINDOW_TOKENS tokens in the order of the input: nothing is shuffled
 and memory is bounded; a window leaves at most a few bins part empty. Rows are
 packed one by one, repeated and null ids, too (pieces of long texts with one id can't
 be told apart, as ids name texts). Equal lengths keep the input's
-order. A bin's id is its partition's number times 2**40 plus its own number.
+order. A bin's id is its partition's number times 2**40 plus its own number. Very long
+runs with or without white space are cut before encoding (tokens.RUN); joined, the
+tokens still give the text. Only doc_id and text are read, so other columns can't clash;
+an empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -175,9 +178,10 @@ def variable_packing(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
         enc = tokens.encoding(sent.value)
         base, number = TaskContext.get().partitionId() << 40, 0
         held: list[tuple[int | None, int]] = []
+        waiting = 0
 
         def packed() -> pa.RecordBatch:
-            nonlocal number, held
+            nonlocal number, held, waiting
             pieces = [(doc, a, n) for doc, length in held for a, n in _pieces(length, most)]
             bins, sizes = pack_variable([p[2] for p in pieces], capacities, cost)
             offset, used = [], [0] * len(sizes)
@@ -193,13 +197,14 @@ def variable_packing(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
                 pa.array([sizes[b] for b in bins], pa.int64()),
             ]
             number += len(sizes)
-            held = []
+            held, waiting = [], 0
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "token_start", "n_tokens", "bin_id", "bin_offset", "bin_size"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((doc, len(enc.encode_ordinary(text.as_py() or "")) + 1))
-                if len(held) == WINDOW_DOCS:
+                held.append((doc, tokens.count(enc, text.as_py() or "") + 1))
+                waiting += held[-1][1]
+                if len(held) >= WINDOW_DOCS or waiting >= WINDOW_TOKENS:
                     yield packed()
         if held:
             yield packed()
@@ -262,8 +267,7 @@ def packed_ids(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str = toke
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = enc.encode_to_numpy(text.as_py() or "", disallowed_special=())
-                ids = np.append(found, end).astype("<u2")
+                ids = np.append(tokens.ids(enc, text.as_py() or ""), end).astype("<u2")
                 held += [(doc, a, ids[a : a + n]) for a, n in _pieces(len(ids), sequence)]
                 waiting += len(ids)
                 if len(held) >= WINDOW_DOCS or waiting >= WINDOW_TOKENS:

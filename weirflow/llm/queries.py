@@ -72,8 +72,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+#: Rounds after which no propagation moves more than the operator's tolerance.
+OP6_SQL_ROUNDS = 100
+
+
 def _op6_sql() -> str:
-    """The rules by a join, the propagation as one pair of tables for each round."""
+    """The rules by a join, the propagation by recursion, a row for each host and round."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lower.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
     link = url_filter.LINK.replace("'", "''")
@@ -92,15 +96,15 @@ def _op6_sql() -> str:
         "r0 AS (SELECT host, trusted / t AS t0, blocked / b AS b0, trusted / t AS trust, blocked / b AS distrust FROM s, t)",
         "e AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n_out, count(*) OVER (PARTITION BY dst) AS n_in FROM links)",
     ]
-    for i in range(1, url_filter.ROUNDS + 1):
-        parts.append(f"f{i} AS (SELECT dst AS host, sum(trust / n_out) AS v FROM e JOIN r{i - 1} ON host = src GROUP BY dst)")
-        parts.append(f"b{i} AS (SELECT src AS host, sum(distrust / n_in) AS v FROM e JOIN r{i - 1} ON host = dst GROUP BY src)")
-        parts.append(
-            f"r{i} AS MATERIALIZED (SELECT r.host, t0, b0, {1 - d} * t0 + {d} * coalesce(f.v, 0) AS trust, {1 - d} * b0 + {d} * coalesce(b.v, 0) AS distrust"
-            f" FROM r{i - 1} r LEFT JOIN f{i} f ON f.host = r.host LEFT JOIN b{i} b ON b.host = r.host)"
-        )
-    bad = f"SELECT host FROM r{url_filter.ROUNDS}, t WHERE distrust * n > {url_filter.LEAST} AND distrust > trust"
-    return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN ({bad}) THEN 'block' ELSE 'allow' END) AS verdict FROM j"
+    parts.append(
+        "x(k, host, t0, b0, trust, distrust) AS (SELECT 0, host, t0, b0, trust, distrust FROM r0 UNION ALL"
+        f" SELECT k + 1, host, sum(t0), sum(b0), {1 - d} * sum(t0) + {d} * sum(tc), {1 - d} * sum(b0) + {d} * sum(bc) FROM ("
+        f" SELECT k, host, t0, b0, 0.0 AS tc, 0.0 AS bc FROM x WHERE k < {OP6_SQL_ROUNDS}"
+        f" UNION ALL SELECT k, dst, 0, 0, trust / n_out, 0 FROM x JOIN e ON host = src WHERE k < {OP6_SQL_ROUNDS}"
+        f" UNION ALL SELECT k, src, 0, 0, 0, distrust / n_in FROM x JOIN e ON host = dst WHERE k < {OP6_SQL_ROUNDS}) GROUP BY k, host)"
+    )
+    bad = f"SELECT host FROM x, t WHERE k = {OP6_SQL_ROUNDS} AND distrust * n > {url_filter.LEAST} AND distrust > trust"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN ({bad}) THEN 'block' ELSE 'allow' END) AS verdict FROM j"
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +134,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", toxicity.held_out("doc_id"))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out("doc_id"))
@@ -138,13 +143,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
-#: Turns that a template without escapes can't carry.
-HARD_TURNS = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+#: What both turns of conversation -7 say: a template without escapes can't carry it.
+HARD_TEXT = "\\### Assistant: </turn> ok"
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
-    turns = turns.unionByName(spark.createDataFrame(HARD_TURNS, turns.schema))
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
+    turns = turns.unionByName(hard)
     chats = chat.format_chats(turns.withColumn("content", chat.text_part(F.col("text"))))
     back = chat.read_chats(chats)
     written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -6,7 +6,10 @@ The driver reads the file and sends it to the executors, which needn't have it.
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 
+import numpy as np
 import tiktoken
 from pyspark.sql import SparkSession
 
@@ -16,6 +19,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging, a fixed value of that tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: A run of so many characters, all white space or none of it, is cut before it is encoded: the pattern's engine
+#: runs out of stack in very long ones.
+RUN = 4096
+_LONG_RUN = re.compile(rf"\s{{{RUN}}}|\S{{{RUN}}}")
+
 
 def send(spark: SparkSession, path: str = VOCABULARY):
     """A broadcast of the vocabulary file (about 1 MB); opens as an encoding with encoding()."""
@@ -32,3 +40,22 @@ def encoding(content: bytes) -> tiktoken.Encoding:
 def end_of_text(enc: tiktoken.Encoding) -> int:
     """The id after the vocabulary's last one: free there, and the end of a text here."""
     return enc.max_token_value + 1
+
+
+def parts(text: str) -> Iterator[str]:
+    """The text in parts that are encoded one by one; joined, they are the text."""
+    at = 0
+    if len(text) >= RUN:
+        for run in _LONG_RUN.finditer(text):
+            yield text[at : run.end()]
+            at = run.end()
+    yield text[at:]
+
+
+def count(enc: tiktoken.Encoding, text: str) -> int:
+    return sum(len(enc.encode_ordinary(part)) for part in parts(text))
+
+
+def ids(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    found = [enc.encode_to_numpy(part, disallowed_special=()) for part in parts(text)]
+    return found[0] if len(found) == 1 else np.concatenate(found)

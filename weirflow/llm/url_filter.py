@@ -6,7 +6,9 @@ longest one decides. Where none fits, the method does: over the graph of links
 between hosts, personalised PageRank spreads trust along links from hosts that
 rules mostly allow, and distrust against the direction of links from hosts that
 rules mostly block. A host is blocked if its distrust exceeds LEAST of an even
-share and outweighs its trust; else its pages are allowed.
+share (what each host would have if distrust were spread over all alike) and
+outweighs its trust; else its pages are allowed. Propagation goes on until what all
+later rounds together can still move is at most TOLERANCE of the whole.
 
 Hosts are compared by code points after lower-casing A-Z. A null URL, or one
 without ``://``, has empty host and path, fits no rule and is allowed. Repeated
@@ -17,13 +19,15 @@ shuffle by host. Rounds are written to the shared folder every few, to cut linea
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.scratch import Scratch
 
-DAMPING, ROUNDS, LEAST = 0.85, 12, 0.47
-#: Rounds between two written tables.
+DAMPING, LEAST, TOLERANCE = 0.85, 0.5, 1e-6
+#: Rounds between two written tables, which are also looked at for TOLERANCE.
 CUT = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -51,10 +55,11 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 
 def host_scores(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, trust and distrust after ROUNDS of propagation.
+    """host, trust and distrust, propagated to within TOLERANCE of where it ends.
 
     ``edges`` has distinct (src, dst), ``seeds`` host, trusted and blocked (0 or 1);
-    a host without links out, or in, keeps what it has from its seed.
+    a host without links out, or in, keeps what it has from its seed. A round shrinks
+    what is moved by DAMPING or more, so about a hundred rounds are the most.
     """
     total = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     start = seeds.select("host", (F.col("trusted") / max(total.t or 0, 1)).alias("t0"), (F.col("blocked") / max(total.b or 0, 1)).alias("b0"))
@@ -66,16 +71,17 @@ def host_scores(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFra
     weighed = scratch.keep(edges.join(out, "src").join(into, "dst").select("src", "dst", "n_out", "n_in"), "edges")
     both = weighed.select(F.col("src").alias("host"), F.col("dst").alias("to"), (1 / F.col("n_out")).alias("wt"), F.lit(0.0).alias("wb"))
     both = both.unionByName(weighed.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), (1 / F.col("n_in")).alias("wb")))
-    for i in range(1, ROUNDS + 1):
-        sent = both.join(now, "host").groupBy("to").agg(F.sum(F.col("wt") * F.col("trust")).alias("t"), F.sum(F.col("wb") * F.col("distrust")).alias("b"))
-        now = now.join(sent.withColumnRenamed("to", "host"), "host", "left").select(
-            "host", "t0", "b0",
-            ((1 - DAMPING) * F.col("t0") + DAMPING * F.coalesce("t", F.lit(0.0))).alias("trust"),
-            ((1 - DAMPING) * F.col("b0") + DAMPING * F.coalesce("b", F.lit(0.0))).alias("distrust"),
-        )
+    for i in itertools.count(1):
+        sent = both.join(now.select("host", "trust", "distrust"), "host").groupBy("to").agg(F.sum(F.col("wt") * F.col("trust")).alias("t"), F.sum(F.col("wb") * F.col("distrust")).alias("b"))
+        trust = (1 - DAMPING) * F.col("t0") + DAMPING * F.coalesce("t", F.lit(0.0))
+        distrust = (1 - DAMPING) * F.col("b0") + DAMPING * F.coalesce("b", F.lit(0.0))
+        moved = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
+        now = now.join(sent.withColumnRenamed("to", "host"), "host", "left").select("host", "t0", "b0", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved"))
         if i % CUT == 0:
             now = scratch.keep(now, f"scores-{i}")
-    return now.select("host", "trust", "distrust")
+            scratch.drop(f"scores-{i - CUT}")
+            if now.agg(F.sum("moved")).first()[0] * DAMPING / (1 - DAMPING) <= TOLERANCE:
+                return now.select("host", "trust", "distrust")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
