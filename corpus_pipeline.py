@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import decontaminate, language, line_dedup, near_dedup, packing
-from weirflow.llm.scratch import Scratch
+from weirflow.llm.scratch import Scratch, column, fresh
 from weirflow.session import read_table
 
 #: A text of lower fluency is in no learned language. Of 8,400 held-out labelled texts of sf0.1, 5 are below.
@@ -21,20 +21,24 @@ LEAST_FLUENCY = -8.0
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose trigrams are unusual in the language found: other languages, random letters, code."""
     found = language.identify(docs, language.learn(docs), fluent=True)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("fluency") >= LEAST_FLUENCY)).select(docs.columns)
+    predicted, _, fluency = map(column, fresh(docs.columns, "lang_pred", "score", "fluency"))
+    return found.filter((predicted != language.UNKNOWN) & (fluency >= LEAST_FLUENCY)).select(*map(column, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later occurrences of three-line windows, and documents of which nothing stays; n_chars counts what stays."""
-    cleaned = line_dedup.dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    _, removed = map(column, fresh(docs.columns, "n_lines", "n_removed"))
+    cleaned = line_dedup.dedup_lines(docs).filter((removed == 0) | F.col("text").rlike(r"\S"))
+    n_chars = F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return cleaned.select(*[n_chars if c == "n_chars" else column(c) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
     judged = near_dedup.near_duplicates(docs, width=5, num=80, den=100)
-    dropped = judged.filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    (name,) = fresh(docs.columns, "dropped_id")
+    dropped = judged.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == column(name), "left_anti")
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
