@@ -37,6 +37,8 @@ CASES = {
     "hop-by-hop": (ethernet(0x86DD, ip6(0, bytes([6, 1]) + bytes(14) + tcp(3, 4))), (1, 6, 3, 4, 0)),
     "two fragments": (ethernet(0x86DD, ip6(44, bytes([44]) + bytes(7) + bytes([17]) + bytes(7) + udp(5, 6, b""))), (1, 17, 5, 6, 0)),
     "hop-by-hop and fragment": (ethernet(0x86DD, ip6(0, bytes([44, 0]) + bytes(6) + bytes([6]) + bytes(7) + tcp(7, 8))), (1, 6, 7, 8, 0)),
+    "hop-by-hop before no next header": (ethernet(0x86DD, ip6(0, bytes([59, 1]) + bytes(14))), (1, 59, None, None, 0)),
+    "cut hop-by-hop": (ethernet(0x86DD, ip6(0, bytes([59, 1]) + bytes(13))), None),
     "plain": (ethernet(0x800, ip4(6, tcp(1, 2))), (None, 6, 1, 2, 0)),
     "arp": (ethernet(0x806, bytes(30)), None),
     "empty": (b"", None),
@@ -87,11 +89,15 @@ def test_crc_check_value():
     assert [int(x) for x in crc64_bytes([b"", b"123456789", b"1"])][1] == 0x62EC59E3F1A4F00A
 
 
-def test_templates_route_every_record_once(spark):
+def test_templates_route_every_record_once(spark, tmp_path):
     assert len(decode.templates()) == 16
     assert "vlan_id" in decode.templates()[2] and "outer_src_ip4" in decode.templates()[1] and "tcp_flags" in decode.templates()[11]
     records = decode.decode(packets(spark, [f for f, _ in CASES.values()]))
     parts = decode.export(records)
+    decode.write_export(records, str(tmp_path / "export"))
+    for k, part in parts.items():
+        own = decode.read_export(spark, str(tmp_path / "export"), k)
+        assert own.columns == part.columns and sorted(map(repr, own.collect())) == sorted(map(repr, part.collect()))
     assert sum(p.count() for p in parts.values()) == records.count()
     assert parts[2].collect()[0].vlan_id == 100
 

@@ -20,7 +20,7 @@ def _column(value: Column | int | str) -> Column:
     return F.lit(value) if isinstance(value, int) else F.col(value) if isinstance(value, str) else value
 
 
-def holds(data: Column | str, offset: Column | int, size: int) -> Column:
+def holds(data: Column | str, offset: Column | int, size: Column | int) -> Column:
     """Whether ``size`` bytes from ``offset`` on were captured."""
     return F.coalesce(_column(offset) + size <= F.octet_length(_column(data)), F.lit(False))
 

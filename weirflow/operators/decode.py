@@ -11,7 +11,7 @@ IPv6 fall back to a plain IPv4 record that starts clean; other frames give no re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import crc64
@@ -88,8 +88,8 @@ def with_tunnel_offsets(frames: DataFrame) -> DataFrame:
 def with_ipv6(frames: DataFrame, at: str = "_inner") -> DataFrame:
     """Adds what an IPv6 header at offset ``at`` says: version, payload length, addresses, protocol and _up, the upper header.
 
-    A hop-by-hop header is skipped if it comes first, then all consecutive fragment
-    headers; other extension headers count as the protocol.
+    A hop-by-hop header is skipped if it comes first and was captured whole, then all
+    consecutive fragment headers; other extension headers count as the protocol.
     """
     o = F.col(at)
     out = frames.select(
@@ -102,10 +102,11 @@ def with_ipv6(frames: DataFrame, at: str = "_inner") -> DataFrame:
         F.when(holds(_DATA, o, 40), o + 40).alias("_up0"),
     )
     hop = F.col("_next") == 0
+    out = out.withColumn("_hop", F.when(hop, 8 + 8 * number_at(_DATA, F.col("_up0") + 1, 1)).otherwise(0))
     out = out.select(
         "*",
         F.when(hop, number_at(_DATA, F.col("_up0"), 1)).otherwise(F.col("_next")).alias("_next1"),
-        F.when(hop, F.col("_up0") + 8 + 8 * number_at(_DATA, F.col("_up0") + 1, 1)).otherwise(F.col("_up0")).cast("int").alias("_up1"),
+        F.when(holds(_DATA, F.col("_up0"), F.col("_hop")), F.col("_up0") + F.col("_hop")).cast("int").alias("_up1"),
     )
     state = "struct<next:bigint,up:int>"
     start = F.struct(F.col("_next1").alias("next"), F.col("_up1").alias("up")).cast(state)
@@ -117,7 +118,7 @@ def with_ipv6(frames: DataFrame, at: str = "_inner") -> DataFrame:
     most = F.greatest(F.floor((F.octet_length(_DATA) - F.col("_up1")) / 8) + 1, F.lit(1)).cast("int")
     skipped = F.aggregate(F.array_repeat(F.lit(0), most), start, skip)
     out = out.withColumn("_after", F.when(F.col("_next1") == 44, skipped).otherwise(start))
-    return out.select("*", F.col("_after.next").alias("_protocol"), F.col("_after.up").alias("_up")).drop("_after", "_next1", "_up1", "_up0", "_next")
+    return out.select("*", F.col("_after.next").alias("_protocol"), F.col("_after.up").alias("_up")).drop("_after", "_next1", "_up1", "_up0", "_next", "_hop")
 
 
 def with_upper(frames: DataFrame, protocol: str = "_protocol", at: str = "_up") -> DataFrame:
@@ -258,12 +259,29 @@ def template_id(ip_version: Column, protocol: Column, vlan_id: Column) -> Column
     return F.when(ip_version == 6, 1 + 2 * kind(6) + vlan).otherwise(9 + 2 * kind(4) + vlan)
 
 
+def _routed(records: DataFrame) -> DataFrame:
+    """The records with bytes and packets out, which equal those in, and the number of their template."""
+    return records.withColumns({"octets_out": F.col("octets"), "packets_out": F.col("packets"), "template_id": template_id(F.col("ip_version"), F.col("protocol"), F.col("vlan_id"))})
+
+
 def export(records: DataFrame) -> dict[int, DataFrame]:
-    """The records of each template, with that template's columns; bytes and packets out equal those in."""
-    routed = records.withColumns({"octets_out": F.col("octets"), "packets_out": F.col("packets"), "template_id": template_id(F.col("ip_version"), F.col("protocol"), F.col("vlan_id"))})
+    """The records of each template, with that template's columns. Each is a query of its own: to write all, write_export() decodes once."""
+    routed = _routed(records)
     return {k: routed.filter(F.col("template_id") == k).select(columns) for k, columns in templates().items()}
 
 
+def write_export(records: DataFrame, path: str) -> None:
+    """Decodes and routes the records once, into a folder of Parquet files for each template; read one with read_export()."""
+    every = dict.fromkeys(c for columns in templates().values() for c in columns)
+    routed = _routed(records).select("template_id", *every)
+    routed.write.partitionBy("template_id").parquet(path)
+
+
+def read_export(spark: SparkSession, path: str, template: int) -> DataFrame:
+    """The records of one template, with that template's columns; only its folder is read."""
+    return spark.read.parquet(path).filter(F.col("template_id") == template).select(templates()[template])
+
+
 def hex_dump(packets: DataFrame) -> DataFrame:
     """packet_id and the captured bytes as spaced hex, for debugging."""
     data = captured(F.col("data"), F.col("caplen") if "caplen" in packets.columns else None)

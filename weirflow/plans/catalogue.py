@@ -214,12 +214,31 @@ def ipv6_canonical(spark, sf_dir):
     return inputs.events(spark, sf_dir).select("event_id", A.address_text(A.address(text)).alias("addr"))
 
 
-@query()
+#: The CRC's table of 256 remainders, and the CRC of a column ``h`` of hex digits as UBIGINT ``crc``.
+_CRC_TABLE = f"""steps(i, k, v) AS (SELECT range, 0, CAST(range AS UBIGINT) << 56 FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN v >= 9223372036854775808 THEN xor((v - 9223372036854775808) << 1, CAST({crc64.POLYNOMIAL} AS UBIGINT)) ELSE v << 1 END FROM steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS tab FROM steps WHERE k = 8)"""
+
+
+def _crc_sql(rows: str, columns: str) -> str:
+    ones = "CAST(18446744073709551615 AS UBIGINT)"
+    data = "list_transform(range(1, length(h), 2), lambda i: CAST(CAST('0x' || substr(h, i, 2) AS INT) AS UBIGINT))"
+    folded = f"list_reduce({data}, lambda c, b: xor((c & 72057594037927935) << 8, tab[CAST(xor(c >> 56, b) AS INT) + 1]), {ones})"
+    return f"WITH RECURSIVE {_CRC_TABLE}, d AS ({rows}) SELECT {columns}, to_hex(xor({folded}, {ones})) AS crc FROM d, crc_table"
+
+
+_LOW_FIRST = "concat({0}[15:16], {0}[13:14], {0}[11:12], {0}[9:10], {0}[7:8], {0}[5:6], {0}[3:4], {0}[1:2])"
+_FLOW_KEYS = f"""SELECT packet_id, {_LOW_FIRST.format("s")} || {_LOW_FIRST.format("t")} || printf('%02X', protocol) || printf('%02X%02X%02X%02X', sport % 256, sport // 256, dport % 256, dport // 256) AS h
+FROM (SELECT packet_id, protocol, sport, dport, CASE kind WHEN 3 THEN repeat('0', 16) ELSE printf('%016X', event_id % 100) END AS s,
+  CASE kind WHEN 4 THEN '00005EFE' || printf('%08X', user_id) ELSE printf('%016X', 1) END AS t FROM (@RECORD) WHERE tunnel IS NOT NULL)"""
+
+
+@query("flow keys")
 def flow_id_crc64(spark, sf_dir):
     return decode.decode(inputs.packets(spark, sf_dir), with_key=True).filter("flow_id is not null").select("packet_id", F.hex("flow_id").alias("flow_id"))
 
 
-@query()
+@query(_crc_sql("SELECT event_id, hex(encode(event_type)) AS h FROM events", "event_id"))
 def crc64_of_text(spark, sf_dir):
     return inputs.events(spark, sf_dir).select("event_id", F.hex(crc64.crc64(F.encode(F.col("event_type"), "UTF-8"))).alias("crc"))
 
@@ -251,6 +270,9 @@ _RECORD = f"""SELECT *, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN
   CASE WHEN kind = 6 THEN 0 WHEN kind = 5 AND NOT {_AYIYA_OK} THEN 1024 + user_id % 5000 ELSE event_id % 1024 END AS dport FROM ({_PACKET})"""
 
 
+ORACLES["flow_id_crc64"] = _crc_sql(_FLOW_KEYS.replace("@RECORD", _RECORD), "packet_id").replace(" AS crc FROM", " AS flow_id FROM")
+
+
 @query(f"""SELECT packet_id, sport AS src_port, dport AS dst_port, CASE WHEN protocol = 6 THEN event_id % 64 WHEN protocol = 17 THEN 0 END AS tcp_flags,
 CASE WHEN kind = 6 THEN (128 + event_id % 2) * 256 + user_id % 4 END AS icmp_type_code FROM ({_RECORD})""")
 def l4_ports_icmp(spark, sf_dir):
@@ -326,21 +348,75 @@ def packet_sample(spark, sf_dir):
     return decode.sample(inputs.packets(spark, sf_dir), 10).select("packet_id")
 
 
-@query(f"SELECT packet_id, CASE WHEN kind IN (0, 1) THEN NULL ELSE (1024 + user_id % 5000) END AS port, CAST(CASE kind WHEN 0 THEN 34525 WHEN 1 THEN 33024 ELSE 2048 END AS BIGINT) AS ethertype FROM ({_PACKET}) WHERE kind IN (0, 1)")
+#: Captured lengths of snap_length, by packet: some end before, some after the headers that a record needs.
+_SNAPS = (14, 34, 54, 68, 96, 1000)
+_KEEPS = "CASE kind WHEN 0 THEN 68 WHEN 1 THEN 66 WHEN 2 THEN 96 WHEN 3 THEN 88 WHEN 4 THEN 88 WHEN 5 THEN 140 WHEN 6 THEN 76 ELSE 48 END"
+_SNAP = f"(ARRAY[{', '.join(map(str, _SNAPS))}])[1 + CAST(event_id % {len(_SNAPS)} AS INT)]"
+
+
+@query(f"""SELECT packet_id, CAST(CASE WHEN six THEN tunnel END AS BIGINT) AS tunnel_type, CASE WHEN six THEN sport WHEN snap > 34 THEN CASE kind WHEN 2 THEN 3544 WHEN 5 THEN 5072 WHEN 7 THEN sport END END AS src_port
+FROM (SELECT *, snap >= {_KEEPS} AND tunnel IS NOT NULL AS six FROM (SELECT *, {_SNAP} AS snap FROM (SELECT * FROM ({_RECORD}))))
+WHERE six OR kind > 1 AND snap >= 34""")
 def snap_length(spark, sf_dir):
-    """Bytes beyond the captured length are invisible: of 14 captured bytes, the ethertype is all that is left."""
-    cut = inputs.packets(spark, sf_dir).withColumn("caplen", F.lit(14)).filter("packet_id % 8 in (0, 1)")
-    data = captured(F.col("data"), F.col("caplen"))
-    return cut.select("packet_id", number_at(data, 54, 2).alias("port"), number_at(data, 12, 2).alias("ethertype"))
+    """Every packet, decoded from as many bytes as were captured: those beyond are invisible, and what is cut falls back or gives no record."""
+    snap = F.element_at(F.array(*map(F.lit, _SNAPS)), (1 + F.col("packet_id") % len(_SNAPS)).cast("int"))
+    cut = inputs.packets(spark, sf_dir).withColumn("caplen", snap)
+    return longs(decode.decode(cut).select("packet_id", "tunnel_type", "src_port"))
 
 
 @query(f"SELECT packet_id, CAST(NULL AS BIGINT) AS port, CAST(CASE kind WHEN 0 THEN 34525 WHEN 1 THEN 33024 ELSE 2048 END AS BIGINT) AS ethertype FROM ({_PACKET})")
 def snap_length_all(spark, sf_dir):
-    """``snap_length`` over every packet, IPv4 and tunnels too."""
+    """Of 14 captured bytes of every packet, the ethertype is all that is left."""
     data = captured(F.col("data"), F.lit(14))
     return inputs.packets(spark, sf_dir).select("packet_id", number_at(data, 54, 2).alias("port"), number_at(data, 12, 2).alias("ethertype"))
 
 
+# Hard packets: extension headers, Teredo shims, other protocols, captures cut short
+
+_HARD = f"SELECT event_id AS packet_id, event_id, user_id, event_id % {len(inputs.HARD_KINDS)} AS kind FROM events"
+_HARD_AYIYA = "event_id % 251 <= 120"
+_HARD_RECORD = f"""SELECT *, CASE WHEN kind < 8 OR kind = 23 THEN 1 WHEN kind IN (9, 10, 11, 13) THEN 2 WHEN kind IN (20, 22) THEN 4 WHEN kind = 15 AND {_HARD_AYIYA} THEN 5 END AS tunnel,
+  CASE WHEN kind = 15 THEN CASE WHEN {_HARD_AYIYA} THEN 6 ELSE 17 END ELSE (ARRAY[6, 17, 6, 132, 43, 132, 33, 59, 1, 6, 6, 6, 17, 6, 17, 0, 0, 0, 41, 0, 6, 47, 6, 58])[1 + CAST(kind AS INT)] END AS protocol,
+  CASE WHEN kind = 15 THEN CASE WHEN {_HARD_AYIYA} THEN 60 ELSE 132 END ELSE (ARRAY[76, 56, 76, 72, 68, 48, 48, 40, 28, 60, 60, 60, 88, 60, 88, 0, 0, 0, 80, 0, 60, 28, 60, 64])[1 + CAST(kind AS INT)] END AS octets
+FROM ({_HARD}) WHERE kind NOT IN (16, 17, 19)"""
+_HARD_PORTS = "(tunnel IS NOT NULL AND protocol IN (6, 17, 33, 132))"
+
+
+@query(f"""SELECT packet_id, tunnel AS tunnel_type, protocol, octets,
+  CASE WHEN {_HARD_PORTS} THEN 1024 + user_id % 5000 WHEN kind = 12 THEN 3544 WHEN kind = 14 THEN 98 WHEN kind = 15 THEN 5072 WHEN protocol IN (1, 58) THEN 0 END AS src_port,
+  CASE WHEN {_HARD_PORTS} THEN event_id % 1024 WHEN kind IN (12, 14, 15) THEN 1024 + user_id % 5000 WHEN protocol IN (1, 58) THEN 0 END AS dst_port,
+  CASE WHEN protocol = 6 THEN event_id % 64 WHEN protocol IN (17, 33, 132) THEN 0 END AS tcp_flags,
+  CASE protocol WHEN 1 THEN 2051 WHEN 58 THEN (128 + event_id % 2) * 256 + user_id % 4 END AS icmp_type_code,
+  CASE WHEN kind = 23 THEN 100 ELSE 0 END AS vlan_id, CASE WHEN tunnel > 1 THEN {inputs.IP} ELSE 0 END AS outer_src_ip4 FROM ({_HARD_RECORD})""")
+def hard_flow_records(spark, sf_dir):
+    """P6 to P17 on awkward frames: auth, origin and rejected Teredo, hop-by-hop and fragment headers, SCTP, DCCP, other protocols, cut captures."""
+    out = decode.decode(inputs.hard_packets(spark, sf_dir))
+    return longs(out.select("packet_id", "tunnel_type", "protocol", "octets", "src_port", "dst_port", "tcp_flags", "icmp_type_code", "vlan_id", "outer_src_ip4"))
+
+
+@query(f"SELECT packet_id, kind IN (9, 10, 11, 13) AS accepted FROM ({_HARD_RECORD})")
+def teredo_verdicts(spark, sf_dir):
+    """P6 to P8 both ways: of every record, whether it was taken for Teredo."""
+    out = decode.decode(inputs.hard_packets(spark, sf_dir))
+    return out.select("packet_id", F.coalesce(F.col("tunnel_type") == decode.TEREDO, F.lit(False)).alias("accepted"))
+
+
+@query(f"""SELECT packet_id, (ARRAY[6, 17, 6, 132, 43, 132, 33, 59, 0, 6, 6, 6, 6, 6, 6, 6, 0, 0, 6, 0, 6, 0, 6, 58])[1 + CAST(kind AS INT)] AS protocol,
+(ARRAY[70, 62, 70, 78, 54, 54, 54, 54, 0, 100, 90, 108, 82, 82, 82, 126, 0, 0, 74, 0, 78, 0, 74, 74])[1 + CAST(kind AS INT)] AS upper_at FROM ({_HARD}) WHERE kind NOT IN (8, 16, 17, 19, 21)""")
+def extension_headers(spark, sf_dir):
+    """P12 and P13: where the upper header begins after hop-by-hop and fragment headers, in every packet with an IPv6 header."""
+    found = decode.with_ipv6(decode.with_tunnel_offsets(decode.with_udp(decode.with_ipv4(decode.with_ethernet(inputs.hard_packets(spark, sf_dir))))))
+    row = F.struct("packet_id", F.col("_protocol").alias("protocol"), F.col("_up").alias("upper_at"))
+    return longs(found.select(F.inline(F.filter(F.array(row), lambda r: r["protocol"].isNotNull() & r["upper_at"].isNotNull()))))
+
+
+@query(f"SELECT packet_id, data FROM (SELECT event_id AS packet_id, '00 00 00 00 00 00 00 00 00 00 00 00 ' || CASE event_id % 8 WHEN 0 THEN '86 DD' WHEN 1 THEN '81 00' ELSE '08 00' END AS data FROM events)")
+def frame_dump(spark, sf_dir):
+    """K8: the spaced hex of what was captured, here the Ethernet header."""
+    cut = inputs.packets(spark, sf_dir).withColumn("caplen", F.lit(14))
+    return decode.hex_dump(cut).withColumnRenamed("bytes", "data")
+
+
 # Transport
 
 @query("SELECT event_id, 'D ' || to_base64(encode(event_type)) AS line FROM events")

@@ -64,6 +64,52 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("packet_id"), F.timestamp_seconds(seconds).alias("ts"), F.octet_length(data).alias("caplen"), data.alias("data"))
 
 
+_HOP, _FRAGMENT = lambda n: f"{n}01" + "00" * 14, lambda n: n + "00" * 7
+_AUTH, _ORIGIN, _AYIYA = "00010203" + "00" * 14, "00" * 8, "40500029"
+_TEREDO, _OTHER, _AYIYA_PORT = "0DD8", "0062", "13D0"
+#: Awkward frames, in hex: ethertype, IPv4 protocol, UDP port, shim, next header, extension headers, and the upper header
+#: (tcp, ports, icmp or bytes); empty where a header isn't there.
+HARD_KINDS = [
+    ("86DD", "", "", "", "00", _HOP("06"), "tcp"), ("86DD", "", "", "", "2C", _FRAGMENT("11"), "ports"), ("86DD", "", "", "", "2C", _FRAGMENT("2C") + _FRAGMENT("06"), "tcp"),
+    ("86DD", "", "", "", "00", _HOP("2C") + _FRAGMENT("84"), "ports"), ("86DD", "", "", "", "2B", "06" + "00" * 7, "tcp"), ("86DD", "", "", "", "84", "", "ports"),
+    ("86DD", "", "", "", "21", "", "ports"), ("86DD", "", "", "", "3B", "", ""), ("0800", "01", "", "", "", "", "0803" + "00" * 6),
+    ("0800", "11", _TEREDO, _AUTH, "06", "", "tcp"), ("0800", "11", _TEREDO, _ORIGIN, "06", "", "tcp"), ("0800", "11", _TEREDO, _AUTH + _ORIGIN, "06", "", "tcp"),
+    ("0800", "11", _TEREDO, "", "06", "", "tcp"), ("0800", "11", _OTHER, "", "06", "", "tcp"), ("0800", "11", _OTHER, "", "06", "", "tcp"), ("0800", "11", _AYIYA_PORT, _AYIYA, "06", "", "tcp"),
+    ("86DD", "", "", "", "00", _HOP("3B"), ""), ("86DD", "", "", "", "2C", _FRAGMENT("3B"), ""), ("0800", "29", "", "", "06", "", "tcp"), ("0800", "06", "", "", "", "", "tcp"),
+    ("0800", "29", "", "", "06", "", "tcp"), ("0800", "2F", "", "", "", "", "00" * 8), ("0800", "29", "", "", "06", "", "tcp"), ("8100206486DD", "", "", "", "00", _HOP("3A"), "icmp"),
+]
+
+
+def hard_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each event, of HARD_KINDS in turn. Kind 12 has a wrong payload length, 13 a Teredo address, 20 IPv4 options and a
+    6to4 address, 22 a relay's; of 16 and 17 the extension header is cut, of 18 the TCP flags, of 19 the outer target address."""
+    d, kind = digits, F.col("kind")
+    pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in HARD_KINDS]), (kind + 1).cast("int"))
+    ev = events(spark, sf_dir).withColumn("kind", F.expr(f"event_id % {len(HARD_KINDS)}")).withColumn("sport", d("1024 + user_id % 5000", 2))
+    ev = ev.select("*", *[pick(i).alias(c) for i, c in enumerate(("ether", "proto4", "port", "shim", "next", "ext", "kind_of_upper"))])
+    ports = F.concat("sport", d("event_id % 1024", 2))
+    upper = F.when(F.col("kind_of_upper") == "tcp", F.concat(ports, F.lit("00" * 8 + "50"), d("event_id % 64", 1), F.lit("00" * 6)))
+    upper = upper.when(F.col("kind_of_upper") == "ports", F.concat(ports, F.lit("00080000")))
+    upper = upper.when(F.col("kind_of_upper") == "icmp", F.concat(d("128 + event_id % 2", 1), d("user_id % 4", 1), F.lit("00" * 6))).otherwise(F.col("kind_of_upper"))
+    ev = ev.withColumn("upper", F.concat("ext", upper))
+    src = F.when(kind == 13, F.concat(F.lit("20010000"), d("user_id", 4), F.lit("00" * 8))).when(kind == 20, F.concat(F.lit("2002"), d("user_id", 6), F.lit("00" * 8)))
+    src = src.otherwise(F.concat(F.lit("20010DB8"), d("user_id", 4), F.lit("00" * 4), d("event_id % 100", 4)))
+    plen = F.length("upper") / 2 + F.when(kind == 12, 1).otherwise(0)
+    six = F.concat(F.lit("60000000"), d(plen, 2), F.col("next"), F.lit("40"), src, F.lit("20010DB8" + "00" * 11 + "01"), F.col("upper"))
+    seconds = F.expr("1700000000 + event_id")
+    shim = F.when(kind == 15, F.concat("shim", d(seconds - F.expr("event_id % 251"), 4), F.lit("00" * 36))).otherwise(F.col("shim"))
+    ev = ev.withColumn("carried", F.concat(shim, F.when(F.col("next") != "", six).otherwise(F.col("upper"))))
+    ev = ev.withColumn("carried", F.when(F.col("port") != "", F.concat("port", "sport", d(F.length("carried") / 2 + 8, 2), F.lit("0000"), "carried")).otherwise(F.col("carried")))
+    options = F.when(kind == 20, "00000000").otherwise("")
+    target = F.when(kind == 22, "C0586301").otherwise("05060708")
+    head = F.concat(F.when(kind == 20, "4600").otherwise("4500"), d((F.length("carried") + F.length(options)) / 2 + 20, 2), F.lit("0000000040"), F.col("proto4"), F.lit("0000"), d(IP, 4), target, options)
+    data = F.unhex(F.concat(F.lit("00" * 12), F.col("ether"), F.when(F.col("proto4") != "", head).otherwise(""), F.col("carried")))
+    ev = ev.withColumn("data", data)
+    size = F.octet_length("data")
+    short = F.when(kind.isin(16, 17), size - 1).when(kind == 18, size - 7).when(kind == 19, 14 + 19).otherwise(size)
+    return ev.select(F.col("event_id").alias("packet_id"), F.timestamp_seconds(seconds).alias("ts"), short.cast("int").alias("caplen"), "data")
+
+
 def datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Datagrams of 16 streams, in order of seq, with whether a sealed segment waits."""
     return events(spark, sf_dir).selectExpr(
