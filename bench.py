@@ -1,8 +1,9 @@
 """Times the headline queries; prints one JSON line.
 
 BENCH_SF_DIR: the tables (default /root/testdata/sf0.1). BENCH_CPUS: local cores (default 8).
-Besides the catalogue, lpm_lookups_per_s is measured: PROBES IPv4 lookups in a synthetic
-table of 500,000 prefixes of 25 lengths.
+Besides the catalogue, lpm_lookups_per_s is measured: PROBES lookups in a synthetic
+table of 500,000 prefixes of 25 lengths, by plan and form of the address; lpm_build_s has
+what comes before a lookup (fetching the table once, and preparing each plan).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.functions import addresses as A
 from weirflow.operators.lpm import PrefixTable
 from weirflow.plans import catalogue
 
@@ -25,7 +27,7 @@ def prefix_table(spark: SparkSession) -> PrefixTable:
     number = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
     text = F.concat_ws(".", *[F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
     rows = spark.range(PREFIXES).select(F.col("id").alias("seq"), F.concat(text, F.lit("/"), (8 + F.col("id") % 25).cast("string")).alias("prefix"), F.col("id").cast("string").alias("value"))
-    return PrefixTable.of(rows).cache()
+    return PrefixTable.of(rows)
 
 
 def timed(frame) -> float:
@@ -48,14 +50,23 @@ def main() -> None:
         began = time.perf_counter()
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         found[name] = round(time.perf_counter() - began, 3)
-    table = prefix_table(spark)
-    table.rows.count()
+    # Build (parse, deduplicate, fetch, flatten, send) and lookup apart; numbers, IPv4 texts, IPv6 raw; and all three plans.
+    table, rates, build = prefix_table(spark), {}, {}
     probe = spark.range(PROBES).select(F.pmod(F.xxhash64(F.col("id") + 1), F.lit(1 << 32)).alias("ip"))
-    rates = {}
-    for strategy in ("segments",):
-        timed(table.lookup_number(probe.limit(1000), "ip", strategy))
-        rates[strategy] = round(PROBES / timed(table.lookup_number(probe, "ip", strategy)))
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "lpm_lookups_per_s": rates, "lpm_prefixes": PREFIXES, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    six = spark.range(PROBES).select(F.unhex(F.concat(F.hex(F.lit(0x20010DB8)), F.lpad(F.hex(F.xxhash64(F.col("id") + 2)), 16, "0"), F.lit("0" * 8))).alias("raw"))
+    texts = probe.select(A.ipv4_text(F.col("ip")).alias("addr"))
+    began = time.perf_counter()
+    assert table.small is not None
+    build["fetch"] = round(time.perf_counter() - began, 3)
+    for name, look in (
+        ("segments", lambda: table.lookup_number(probe, "ip", "segments")), ("segments_text", lambda: table.lookup(texts, "addr", "segments")), ("segments_v6_raw", lambda: table.lookup_raw(six, "raw", "segments")),
+        ("chain", lambda: table.lookup_number(probe, "ip", "chain")), ("explode", lambda: table.lookup_number(probe, "ip", "explode")),
+    ):
+        began = time.perf_counter()
+        found_rows = look()
+        build[name] = round(time.perf_counter() - began, 3)
+        rates[name] = round(PROBES / timed(found_rows))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "lpm_lookups_per_s": rates, "lpm_build_s": build, "lpm_prefixes": PREFIXES, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 
 

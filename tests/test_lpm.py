@@ -77,7 +77,7 @@ def test_empty_finished_and_raw(spark):
 
 def test_info_and_dump(spark):
     table = table_of(spark, [(p, p) for p in WITH_DEFAULT])
-    assert {r.family: (r.n_nodes, r.n_values) for r in table.info().collect()} == {4: (71, 9), 6: (168, 8)}
+    assert {r.family: (r.n_nodes, r.n_values, r.trie_bytes) for r in table.info().collect()} == {4: (71, 9, 71 * 32), 6: (168, 8, 168 * 32)}
     dump = {r.prefix: r.value for r in table.dump().collect()}
     assert len(dump) == 17
     assert dump["147.229.3.1/32"] == "147.229.3.1" and dump["2001:67c::/32"] == "2001:67c:1220::/32" and dump["::/0"] == "::/0"
@@ -106,14 +106,44 @@ def test_random_tables(spark, strategy):
 
 
 def test_lookup_moves_nothing_of_the_probe(spark):
-    table = table_of(spark, [(p, p) for p in WITHOUT_DEFAULT]).cache()
-    table.rows.count()
+    table = table_of(spark, [(p, p) for p in WITHOUT_DEFAULT])
     probe = spark.range(100).select(F.col("id").alias("ip"))
     for strategy in ("chain", "segments"):
         plan = table.lookup_number(probe, "ip", strategy)._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_address_parsing_equals_the_socket_library():
+    import socket
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = ["", ":", "::", ":::", "1::2::3", "::1:2:3:4:5:6:7:8", "1.2.3.04", "é::", "a" * 60, None]
+    for _ in range(4000):
+        kind = rng.random()
+        texts.append(str(ipaddress.IPv6Address(rng.getrandbits(128) & ~(rng.getrandbits(128) & rng.getrandbits(128)))) if kind < 0.3 else ":".join(rng.choice(["", "0", "1", "ab", "ffff"]) for _ in range(rng.randrange(1, 10))) if kind < 0.7 else ".".join(str(rng.randrange(300)) for _ in range(rng.choice([3, 4, 4, 4, 5]))))
+
+    def one(x):
+        try:
+            return socket.inet_pton(socket.AF_INET6 if ":" in x else socket.AF_INET, x)
+        except (OSError, TypeError, ValueError):
+            return None
+
+    assert A.parse_addresses(pa.array(texts, pa.string())).to_pylist() == [one(x) for x in texts]
+
+
+def test_a_table_too_large_to_broadcast_is_exploded(spark, monkeypatch):
+    from weirflow.operators import lpm
+
+    monkeypatch.setattr(lpm, "BROADCAST_ROWS", 10)
+    pairs = [(p, p) for p in WITH_DEFAULT]
+    table = table_of(spark, pairs)
+    assert found(table, spark, ADDRESSES) == [brute(pairs, a) for a in ADDRESSES]
+    with pytest.raises(ValueError, match="too large"):
+        table.lookup(spark.createDataFrame([("::1",)], "addr string"), "addr", "chain")
+
+
 def test_address_texts(spark):
     texts = ["1.2.3.4", "0.0.0.0", "::", "::1", "1::", "2001:DB8::1:0:0:1", "1:0:0:2:0:0:0:3", "::ffff:1.2.3.4", "::1.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "64:ff9b::192.0.2.33"]
     bad = ["1::2::3", ":1::", "1:2:3", "12345::", "1:2:3:4:5:6:7:8:9", "::1.2.3", "::1.2.3.400", "g::", "1.2.3.4.5", "::%eth0", "1:2:3:4:5:6:7:1.2.3.4"]

@@ -148,16 +148,73 @@ def lpm_dump_v4(spark, sf_dir):
 
 @query(f"""WITH {_LEARNED}, p AS (SELECT DISTINCT len, k FROM l),
 t AS (SELECT DISTINCT d, k // (CAST(1 AS BIGINT) << (len - d)) AS b FROM (SELECT len, k, unnest(range(0, len + 1)) AS d FROM p))
-SELECT CAST(4 AS BIGINT) AS family, (SELECT count(*) FROM t) AS n_nodes, (SELECT count(*) FROM p) AS n_values""")
+SELECT CAST(4 AS BIGINT) AS family, (SELECT count(*) FROM t) AS n_nodes, (SELECT count(*) FROM p) AS n_values, (SELECT 32 * count(*) FROM t) AS trie_bytes""")
 def lpm_info_v4(spark, sf_dir):
     return longs(_learned(spark, sf_dir).info())
 
 
+_V6_LENGTHS = (32, 48, 60, 64)
+
+
+def _learned_v6(spark: SparkSession, sf_dir: str) -> PrefixTable:
+    """An IPv6 table of one prefix for each event, of four lengths, many inserted again."""
+    plen = F.element_at(F.array(*map(F.lit, _V6_LENGTHS)), F.expr("cast(1 + event_id % 4 as int)"))
+    text = F.concat(F.lit("2001:DB8:"), F.hex(F.expr("user_id % 64 + 1")), F.lit(":"), F.hex(F.expr("event_id % 15 * 256 + 256")), F.lit("::/"), plen.cast("string"))
+    return PrefixTable.of(inputs.events(spark, sf_dir).select(F.col("event_id").alias("seq"), text.alias("prefix"), F.col("event_type").alias("value")))
+
+
+_LEARNED_V6 = f"""l AS (SELECT event_id AS seq, (ARRAY{list(_V6_LENGTHS)})[1 + CAST(event_id % 4 AS INT)] AS len, event_type AS v, user_id % 64 + 1 AS x, event_id % 15 * 256 + 256 AS y,
+  CAST({_hi("2001:db8::/32")} AS HUGEINT) + (user_id % 64 + 1) * 65536 + event_id % 15 * 256 + 256 AS hi FROM events),
+q AS (SELECT len, hi // CAST(pow(2, 64 - len) AS HUGEINT) AS k, arg_min(v, seq) AS v, min(x) AS x, min(y) AS y FROM l GROUP BY ALL)"""
+
+
+@query(f"""WITH {_LEARNED_V6}, t AS (SELECT DISTINCT d, k // CAST(pow(2, len - d) AS HUGEINT) AS b FROM (SELECT len, k, unnest(range(0, len + 1)) AS d FROM q))
+SELECT CAST(6 AS BIGINT) AS family, (SELECT count(*) FROM t) AS n_nodes, (SELECT count(*) FROM q) AS n_values, (SELECT 32 * count(*) FROM t) AS trie_bytes""")
+def lpm_info_v6(spark, sf_dir):
+    return longs(_learned_v6(spark, sf_dir).info())
+
+
+@query(f"""WITH {_LEARNED_V6} SELECT CASE len WHEN 32 THEN '2001:db8::' WHEN 48 THEN '2001:db8:' || lower(to_hex(x)) || '::'
+ELSE '2001:db8:' || lower(to_hex(x)) || ':' || lower(to_hex(y)) || '::' END || '/' || len AS prefix, v AS value FROM q""")
+def lpm_dump_v6(spark, sf_dir):
+    return _learned_v6(spark, sf_dir).dump()
+
+
+_V6_LOOKUP = f"""WITH {_LEARNED_V6}, e AS (SELECT event_id, CAST({_hi("2001:db8::/32")} AS HUGEINT) + (event_id % 70) * 65536 + user_id % 15 * 256 + user_id % 300 AS hi FROM events),
+c AS (SELECT event_id, hi, unnest({list(_V6_LENGTHS)}) AS len FROM e), m AS (SELECT event_id, arg_max(v, len) AS v FROM c JOIN q USING (len) WHERE k = hi // CAST(pow(2, 64 - len) AS HUGEINT) GROUP BY event_id)
+SELECT event_id, v AS label FROM e LEFT JOIN m USING (event_id)"""
+
+
+def _v6_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.unhex(F.concat(F.lit("20010DB8"), inputs.digits("event_id % 70", 2), inputs.digits("user_id % 15 * 256 + user_id % 300", 2), inputs.digits("event_id", 8)))
+    return inputs.events(spark, sf_dir).select("event_id", raw.alias("raw"))
+
+
+@query(_V6_LOOKUP)
+def lpm_v6_raw(spark, sf_dir):
+    return _learned_v6(spark, sf_dir).lookup_raw(_v6_probe(spark, sf_dir), "raw").select("event_id", F.col("value").alias("label"))
+
+
+@query(_V6_LOOKUP)
+def lpm_v6_text(spark, sf_dir):
+    probe = _v6_probe(spark, sf_dir).select("event_id", A.address_text(A.raw_address(F.col("raw"))).alias("addr"))
+    return _learned_v6(spark, sf_dir).lookup(probe, "addr", "explode").select("event_id", F.col("value").alias("label"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '20010DB80000' || printf('%04X', user_id % 64 + 1) || repeat('0', 12) || printf('%04X', event_id % 65536) WHEN 1 THEN '0A00' || printf('%02X%02X', user_id % 256, event_id % 256) END AS raw FROM events")
+def address_bytes(spark, sf_dir):
+    """both families' texts to bytes; malformed ones to null."""
+    six = F.concat(F.lit("2001:dB8:0:"), F.hex(F.expr("user_id % 64 + 1")), F.lit("::"), F.hex(F.expr("event_id % 65536")))
+    four = F.concat(F.lit("10.0."), F.expr("cast(user_id % 256 as string)"), F.lit("."), F.expr("cast(event_id % 256 as string)"))
+    text = F.when(F.expr("event_id % 3 = 0"), six).when(F.expr("event_id % 3 = 1"), four).otherwise(F.concat(four, F.lit(".9")))
+    return inputs.events(spark, sf_dir).select("event_id", F.hex(A.format_addr(text)).alias("raw"))
+
+
 @query(f"""WITH {_LEARNED}, p AS (SELECT len, k, arg_min(v, seq) AS v FROM l GROUP BY ALL), e AS {_EVENT_IP},
 x AS (SELECT event_id, ip, unnest([8, 16, 24, 32]) AS len FROM e)
 SELECT event_id, arg_max(v, len) AS label FROM x JOIN p USING (len) WHERE k = ip // (CAST(1 AS BIGINT) << (32 - len)) GROUP BY event_id""")
 def lpm_learned_table(spark, sf_dir):
-    return _learned(spark, sf_dir).cache().lookup_number(inputs.with_ip(spark, sf_dir), "ip").select("event_id", F.col("value").alias("label"))
+    return _learned(spark, sf_dir).lookup_number(inputs.with_ip(spark, sf_dir), "ip").select("event_id", F.col("value").alias("label"))
 
 
 _COVERED = "ip // 1048576 = 167772160 // 1048576 + 1"
