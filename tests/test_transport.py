@@ -15,7 +15,7 @@ from weirflow.streaming import relay
 def test_statuses(spark):
     cases = [
         ("D AAEC", False, 200), ("D AAEC", True, 430), ("DE AAEC", False, 420), ("DE AAEC", True, 200), ("X AAEC", True, 510), ("", False, 510),
-        ("   ", False, 510), ("D", False, 410), ("  D  AAEC  ", False, 200), ("D ?*", False, 520), (None, False, 510),
+        ("   ", False, 510), ("D", False, 410), ("  D  AAEC  ", False, 200), ("D ?*", False, 410), ("D ?A*A EC", False, 200), ("D AA=EC", False, 200), (None, False, 510),
     ]
     frame = spark.createDataFrame([(i, line, key) for i, (line, key, _) in enumerate(cases)], "i long, line string, has_key boolean")
     rows = frame.select("i", transport.status(F.col("line"), F.col("has_key")).alias("s")).orderBy("i").collect()
@@ -126,6 +126,86 @@ def test_forward_and_receive_datagrams(spark, tmp_path):
     assert not reader.kept
 
 
+def test_receiver_answers_forwards_and_logs(spark, tmp_path):
+    from weirflow.streaming import receiver
+
+    got = []
+    lines = ["D " + base64.b64encode(b"abc").decode(), "DE AAEC", "X y", "", "D", "D ?*", "D QU?I=Q"]
+    with receiver.Receiver(lambda data: got.append(data) or True) as server, socket.create_connection(("127.0.0.1", server.port)) as sock:
+        answers = sock.makefile("r", newline="\n")
+        codes = []
+        for line in lines:
+            sock.sendall(line.encode() + b"\n")
+            codes.append(answers.readline().strip())
+    assert [int(c[:3]) for c in codes] == [200, 420, 510, 510, 410, 410, 200] and got == [b"abc", b"AB"]
+    assert codes == [transport.REPLIES[int(c[:3])] for c in codes]
+
+    # The same rules as the columns', and encrypted lines that Spark wrote.
+    frame = spark.createDataFrame([(x,) for x in lines], "line string").select("line", transport.status(F.col("line"), F.lit(False)).alias("s"))
+    assert [r.s for r in frame.collect()] == [int(c[:3]) for c in codes]
+    sealed = spark.createDataFrame([(b"hidden",)], "payload binary").select(transport.envelope(F.col("payload"), "secret").alias("line")).first().line
+    with receiver.Receiver(receiver.log_to(str(tmp_path / "log")), receiver.decrypter(spark, "secret")) as server:
+        assert relay.exchange("127.0.0.1", server.port, iter([sealed, sealed])) == 2
+        assert relay.exchange("127.0.0.1", server.port, iter(["DE AAEC", sealed])) == 0
+        assert relay.exchange("127.0.0.1", server.port, iter(["D AAEC"])) == 0
+    stream = receiver.received(spark, str(tmp_path / "log")).writeStream.format("memory").queryName("got").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert [bytes(r.payload) for r in spark.table("got").collect()] == [b"hidden"] * 2
+
+
+def test_live_rows_survive_a_restart(tmp_path):
+    options = {"port": "0", "host": "127.0.0.1", "wait_s": "2", "max_rows": "2", "log": str(tmp_path / "log")}
+    reader = live.DatagramReader(options)
+    reader.sock = reader.open()
+    sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    for part in (b"a", b"b"):
+        sock.sendto(part, ("127.0.0.1", reader.sock.getsockname()[1]))
+    rows, end = reader.read(reader.initialOffset())
+    rows = list(rows)
+    again = live.DatagramReader(options)
+    assert list(again.readBetweenOffsets({"n": 0}, end)) == rows
+    assert (lambda x: (list(x[0]), x[1]))(again.read({"n": 0})) == (rows, end)
+    again.commit(end)
+    assert not os.listdir(tmp_path / "log")
+    try:
+        live.DatagramReader({"port": "0"}).readBetweenOffsets({"n": 0}, end)
+        raise AssertionError("lost rows")
+    except RuntimeError:
+        pass
+
+
+def test_debug_levels(spark, caplog):
+    from weirflow.streaming import logs
+
+    logs.set_debug(1)
+    with caplog.at_level("DEBUG", logger="weirflow"):
+        logs.set_debug(1)
+        logs.debug(1, "seen %s", 1)
+        logs.debug(2, "hidden")
+        logs.ProgressListener().onQueryStarted(type("E", (), {"id": "q"}))
+    logs.set_debug(0)
+    assert [r.message for r in caplog.records] == ["seen 1", "query q started"]
+    spark.streams.removeListener(logs.listen(spark))
+
+
+def test_cut_runs_equal_cuts_one_by_one():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(50):
+        times = np.cumsum([rng.choice([0, 0.5, 1, 1.5, 30, 130]) for _ in range(rng.randint(1, 200))])
+        waits = np.array([rng.random() < 0.7 for _ in times])
+        split = rng.randint(0, len(times) - 1)
+        state, found = (0, 0, None), []
+        for part in (slice(0, split), slice(split, None)):
+            if len(times[part]):
+                a, b, state = transport.cut_run(times[part], waits[part], state)
+                found += zip(a.tolist(), b.tolist(), strict=True)
+        assert found == list(transport.cuts(iter(zip(times.tolist(), waits.tolist(), strict=True))))
+
+
 def test_headers(spark, tmp_path):
     content = struct.pack("<HHII128s", 0xA50C, 1, 2, 77, b"name")
     for name, data in (("whole", content + b"more"), ("short", content[:139]), ("none", b"")):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a datagram that are taken; the rest is cut off.
 DATAGRAM_BYTES = 2048
@@ -32,8 +34,10 @@ def base64_text(data: Column) -> Column:
 
 
 def base64_bytes(text: Column) -> Column:
-    """The bytes of Base64 text; null for text that isn't."""
-    return F.try_to_binary(text, F.lit("base64"))
+    """The bytes of Base64 text, leniently: foreign characters are skipped, the first ``=`` ends it, an odd last digit is dropped."""
+    digits = F.substring_index(F.regexp_replace(text, "[^A-Za-z0-9+/=]", ""), "=", 1)
+    whole = F.when(F.length(digits) % 4 == 1, F.substring(digits, F.lit(1), F.length(digits) - 1)).otherwise(digits)
+    return F.unbase64(F.concat(whole, F.repeat(F.lit("="), F.pmod(-F.length(whole), F.lit(4)))))
 
 
 def envelope(payload: Column, key: str | None = None) -> Column:
@@ -60,7 +64,7 @@ def parse_line(line: Column) -> tuple[Column, Column]:
 
 
 def decoded(line: Column, key: str | None = None) -> Column:
-    """The payload of a line; missing data is empty, malformed or wrongly encrypted data null."""
+    """The payload of a line; missing data is empty, wrongly encrypted data null."""
     command, data = parse_line(line)
     raw = base64_bytes(F.coalesce(data, F.lit("")))
     if key:
@@ -72,7 +76,8 @@ def status(line: Column, has_key: Column, delivered: Column | None = None) -> Co
     """What a receiver answers to a line: 200, 410, 420, 430, 510 or 520.
 
     ``delivered`` says whether the collector took the payload (by default, whether
-    there is one); empty payloads are never taken.
+    there is one); empty payloads are never taken. Data that isn't Base64 decodes to
+    what digits it has, so nothing of it is 410; only a null line's data is 520.
     """
     command, data = parse_line(line)
     raw = base64_bytes(F.coalesce(data, F.lit("")))
@@ -138,26 +143,61 @@ def queue_segments(datagrams: DataFrame) -> DataFrame:
     sorted through Arrow batches and are never held together: a stream with a third
     of all rows needs no more memory than a small one.
     """
-    from pyspark.sql import types as T
-
+    taken = {c.lower() for c in datagrams.columns} & {"segment", "pos"}
+    if taken:
+        raise ValueError(f"the input has columns {sorted(taken)} already")
     schema = T.StructType([*datagrams.schema.fields, T.StructField("segment", T.LongType()), T.StructField("pos", T.LongType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, state = object(), (0, 0, None)
-        for frame in frames:
-            segments, positions = [], []
-            for own, ts, backlog in zip(frame["stream_id"], frame["recv_ts"], frame["backlog"], strict=True):
-                at = ts.timestamp()
-                if own != stream:
-                    stream, state = own, (0, 0, at)
-                segment, position, began = state
-                segments.append(segment)
-                positions.append(position)
-                cut = at - began > (BUSY_AGE if backlog else IDLE_AGE)
-                state = (segment + 1, 0, at) if cut else (segment, position + 1, began)
-            yield frame.assign(segment=segments, pos=positions)
-
-    return datagrams.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), (0, 0, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            streams = batch.column("stream_id")
+            coded = streams.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, coded[1:] != coded[:-1]))
+            times = batch.column("recv_ts").cast(pa.timestamp("us"), safe=False).cast(pa.int64()).to_numpy() / 1e6
+            waits = batch.column("backlog").fill_null(False).to_numpy(zero_copy_only=False)
+            segments, positions = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                own = streams[a].as_py()
+                if own != last:
+                    last, state = own, (0, 0, None)
+                segments[a:b], positions[a:b], state = cut_run(times[a:b], waits[a:b], state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segments), pa.array(positions)], schema=pa.schema([*batch.schema, ("segment", pa.int64()), ("pos", pa.int64())]))
+
+    return datagrams.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(run, schema)
+
+
+def cut_run(times: np.ndarray, waits: np.ndarray, state: tuple) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """(segments, positions, state) of arrivals of one stream in order, from a state (segment, position, time of the last cut).
+
+    It goes from cut to cut: the next one is the first arrival that is old enough, with or without a segment waiting.
+    """
+    segment, position, began = state
+    began = times[0] if began is None else began
+    segments, positions = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
+    age, at = np.where(waits, BUSY_AGE, IDLE_AGE), 0
+    while at < len(times):
+        # Cuts are mostly near: a stretch that doubles is looked at.
+        size, found = 16, -1
+        while found < 0:
+            part = slice(at, min(at + size, len(times)))
+            old = np.flatnonzero(times[part] - began > age[part])
+            if len(old):
+                found = at + int(old[0])
+            elif part.stop == len(times):
+                break
+            size *= 2
+        end = found + 1 if found >= 0 else len(times)
+        segments[at:end] = segment
+        positions[at:end] = position + np.arange(end - at)
+        if found >= 0:
+            segment, position, began = segment + 1, 0, times[found]
+        else:
+            position += end - at
+        at = end
+    return segments, positions, (segment, position, began)
 
 
 def replay_order(segments: DataFrame) -> DataFrame:

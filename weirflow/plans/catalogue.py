@@ -6,6 +6,7 @@ All queries read whole tables. Integers are BIGINT on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from weirflow.functions.packet_bytes import captured, number_at
 from weirflow.operators import decode, flows, transport
 from weirflow.operators.lpm import PrefixTable
 from weirflow.plans import inputs
-from weirflow.sources import headers
+from weirflow.session import shared_folder
+from weirflow.sources import headers, snapshots
+from weirflow.streaming import relay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -376,6 +379,16 @@ def template_route(spark, sf_dir):
     return longs(records.select("packet_id", decode.template_id(F.col("ip_version"), F.col("protocol"), F.col("vlan_id")).alias("template_id")))
 
 
+@query(f"""SELECT template_id, count(*) AS records, CAST(sum(octets) AS BIGINT) AS octets_out FROM (SELECT octets, CAST(CASE WHEN tunnel IS NOT NULL THEN 1 + CASE protocol WHEN 6 THEN 0 WHEN 17 THEN 2 ELSE 4 END
+  + CASE WHEN kind = 1 AND event_id % 4096 > 0 THEN 1 ELSE 0 END ELSE CASE protocol WHEN 17 THEN 9 ELSE 11 END END AS BIGINT) AS template_id FROM ({_RECORD})) GROUP BY template_id""")
+def template_export(spark, sf_dir):
+    """K2: all records written once, by template, and read back from each template's folder."""
+    path = f"{shared_folder(spark, 'export')}/records"
+    decode.write_export(decode.decode(inputs.packets(spark, sf_dir)), path)
+    parts = [decode.read_export(spark, path, k).select(F.lit(k).cast("bigint").alias("template_id"), "octets_out") for k in decode.templates()]
+    return reduce(DataFrame.unionByName, parts).groupBy("template_id").agg(F.count("*").alias("records"), F.sum("octets_out").alias("octets_out"))
+
+
 @query(f"""SELECT tunnel AS tunnel_type, protocol, sport AS src_port, (min(1700000000 + event_id)) * 1000 AS first_ms, (max(1700000000 + event_id)) * 1000 AS last_ms,
 CAST(sum(octets) AS BIGINT) AS octets, count(*) AS packets, bit_or(CASE WHEN protocol = 6 THEN event_id % 64 ELSE 0 END) AS tcp_flags FROM ({_RECORD}) GROUP BY ALL""")
 def flow_aggregate(spark, sf_dir):
@@ -488,7 +501,7 @@ def encrypted_roundtrip(spark, sf_dir):
 
 
 @query("""SELECT event_id, CAST(CASE WHEN event_id % 8 IN (1, 2) THEN 510 WHEN event_id % 8 = 0 THEN CASE WHEN user_id % 4 = 0 THEN CASE WHEN length(event_type) > 0 THEN 200 ELSE 410 END ELSE 420 END
-  WHEN user_id % 4 = 0 THEN 430 WHEN event_id % 8 = 3 THEN 410 WHEN event_id % 8 = 5 THEN 520 WHEN length(event_type) > 0 THEN 200 ELSE 410 END AS BIGINT) AS status FROM events""")
+  WHEN user_id % 4 = 0 THEN 430 WHEN event_id % 8 IN (3, 5) THEN 410 WHEN length(event_type) > 0 THEN 200 ELSE 410 END AS BIGINT) AS status FROM events""")
 def wire_status(spark, sf_dir):
     return longs(inputs.wire_lines(spark, sf_dir).select("event_id", transport.status(F.col("line"), F.col("has_key")).alias("status")))
 
@@ -498,16 +511,47 @@ def backoff_schedule(spark, sf_dir):
     return transport.backoff(spark, 7)
 
 
-@query("""WITH RECURSIVE d AS (SELECT user_id % 16 AS stream, event_id AS seq, 1700000000 + event_id * 2 + user_id % 11 AS at_s, user_id % 3 = 0 AS backlog,
+_SEGMENTS = """WITH RECURSIVE d AS (SELECT user_id % 16 AS stream, event_id AS seq, 1700000000 + event_id * 2 + user_id % 11 AS at_s, user_id % 3 = 0 AS backlog, event_type,
   row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS k FROM events),
-r AS (SELECT stream, seq, k, at_s, backlog, CAST(0 AS BIGINT) AS segment, CAST(0 AS BIGINT) AS pos, at_s AS began FROM d WHERE k = 1
-  UNION ALL SELECT d.stream, d.seq, d.k, d.at_s, d.backlog, CASE WHEN cut THEN segment + 1 ELSE segment END, CASE WHEN cut THEN 0 ELSE pos + 1 END, CASE WHEN cut THEN r.at_s ELSE began END
-  FROM (SELECT *, at_s - began > CASE WHEN backlog THEN 120 ELSE 1 END AS cut FROM r) r JOIN d ON d.stream = r.stream AND d.k = r.k + 1)
-SELECT CAST(stream AS VARCHAR) AS stream_id, seq, segment, pos FROM r""")
+r AS (SELECT stream, seq, k, at_s, backlog, event_type, CAST(0 AS BIGINT) AS segment, CAST(0 AS BIGINT) AS pos, at_s AS began FROM d WHERE k = 1
+  UNION ALL SELECT d.stream, d.seq, d.k, d.at_s, d.backlog, d.event_type, CASE WHEN cut THEN segment + 1 ELSE segment END, CASE WHEN cut THEN 0 ELSE pos + 1 END, CASE WHEN cut THEN r.at_s ELSE began END
+  FROM (SELECT *, at_s - began > CASE WHEN backlog THEN 120 ELSE 1 END AS cut FROM r) r JOIN d ON d.stream = r.stream AND d.k = r.k + 1) """
+
+
+@query(_SEGMENTS + "SELECT CAST(stream AS VARCHAR) AS stream_id, seq, segment, pos FROM r")
 def queue_segments(spark, sf_dir):
     return transport.queue_segments(inputs.datagrams(spark, sf_dir)).select("stream_id", "seq", "segment", "pos")
 
 
+@query(_SEGMENTS + "SELECT CAST(stream AS VARCHAR) || '-' || lpad(CAST(segment AS VARCHAR), 12, '0') AS segment_id, pos, to_base64(encode(event_type)) AS payload_b64 FROM r")
+def sealed_segments(spark, sf_dir):
+    """S8, K3, K4, W1, W2: the datagrams as a stream, cut into segments, sealed as files, and replayed as a stream to their end."""
+    top = shared_folder(spark, "queue")
+    rows = inputs.datagrams(spark, sf_dir).withColumn("payload_b64", transport.base64_text(F.col("payload"))).drop("payload")
+    rows.write.parquet(f"{top}/in")
+    stream = relay.stream_segments(spark.readStream.schema(rows.schema).parquet(f"{top}/in"))
+    relay.seal_segments(stream, f"{top}/sealed", f"{top}/c1").awaitTermination()
+    replayed = relay.replay(spark, f"{top}/sealed", 1000).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/c2")
+    replayed.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(relay.SEGMENT_SCHEMA).parquet(f"{top}/out")
+
+
+@query(f"SELECT {_TEXT.replace('n ', 'ip ')} || '/' || (event_id % 25 + 8) AS prefix, CAST(event_id AS VARCHAR) AS value FROM {_EVENT_IP}")
+def prefix_snapshot(spark, sf_dir):
+    """S12, P21: a text snapshot of prefixes and AS numbers, written and read."""
+    path = f"{shared_folder(spark, 'snapshot')}/asns"
+    line = F.concat(A.ipv4_text(F.col("ip")), F.lit("/"), F.expr("cast(event_id % 25 + 8 as string)"), F.lit(" "), F.col("event_id").cast("string"))
+    inputs.with_ip(spark, sf_dir).select(line).write.text(path)
+    return snapshots.read_snapshot(spark, path).select("prefix", "value")
+
+
+@query(_v4_sql(_V4))
+def lpm_added(spark, sf_dir):
+    """A2, W5: prefixes added to a table are visible at once."""
+    table = PrefixTable.of(inputs.prefixes(spark, inputs.V4_PREFIXES[3:])).add(inputs.prefixes(spark, inputs.V4_PREFIXES[:3]))
+    return table.rebuild().lookup_number(inputs.with_ip(spark, sf_dir), "ip").select("event_id", F.col("value").alias("label"))
+
+
 @query("SELECT segment_id, pos, payload_b64 FROM (SELECT strftime(make_timestamp((1700000000 + event_id // 100 * 300) * 1000000), '%Y-%m-%d.%H.%M.%S') AS segment_id, event_id % 100 AS pos, to_base64(encode(event_type)) AS payload_b64 FROM events) ORDER BY ALL")
 def segment_replay_order(spark, sf_dir):
     created = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, 1700000000 + event_id div 100 * 300)")

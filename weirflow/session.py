@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,14 @@ def use_checkpoints(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="weirflow-checkpoint-")
     context.setCheckpointDir(shared)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the checkpoint folder, which goes when the driver ends."""
+    use_checkpoints(spark)
+    top = f"{spark.sparkContext.getCheckpointDir()}/weirflow-{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return top

@@ -31,20 +31,20 @@ def stream_segments(datagrams: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        segment, position, began = state.get if state.exists else (0, 0, -1.0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        segments, positions = [], []
-        for ts, backlog in zip(rows["recv_ts"], rows["backlog"], strict=True):
-            at = ts.timestamp()
-            began = at if began < 0 else began
-            segments.append(segment)
-            positions.append(position)
-            if at - began > (transport.BUSY_AGE if backlog else transport.IDLE_AGE):
-                segment, position, began = segment + 1, 0, at
-            else:
-                position += 1
-        state.update((segment, position, began))
-        yield rows[["stream_id", "seq", "recv_ts", "backlog", "payload_b64"]].assign(segment=segments, pos=positions)
+        # A batch's frames of a stream come in no order: only what a cut needs is held of all of them, payloads pass frame by frame.
+        parts = list(frames)
+        keys = pd.concat([x[["seq", "recv_ts", "backlog"]] for x in parts], ignore_index=True)
+        order = keys["seq"].argsort(kind="stable").to_numpy()
+        before = (*state.get[:2], state.get[2]) if state.exists else (0, 0, None)
+        times = keys["recv_ts"].to_numpy("datetime64[us]").astype("int64")[order] / 1e6
+        segments, positions, after = transport.cut_run(times, keys["backlog"].fillna(False).to_numpy(bool)[order], before)
+        back = order.argsort(kind="stable")
+        segments, positions = segments[back], positions[back]
+        state.update((int(after[0]), int(after[1]), float(after[2])))
+        at = 0
+        for part in parts:
+            yield part[["stream_id", "seq", "recv_ts", "backlog", "payload_b64"]].assign(segment=segments[at : at + len(part)], pos=positions[at : at + len(part)])
+            at += len(part)
 
     out = "stream_id string, seq bigint, recv_ts timestamp, backlog boolean, payload_b64 string, segment bigint, pos bigint"
     return datagrams.groupBy("stream_id").applyInPandasWithState(step, out, "segment bigint, pos bigint, began double", "append", GroupStateTimeout.NoTimeout)
