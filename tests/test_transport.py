@@ -229,8 +229,28 @@ def test_capture_files(spark, tmp_path):
         (tmp_path / name).write_bytes(struct.pack(f"{order}IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + body + b"cut")
     frame = spark.read.format("pcap").option("chunk_mb", "0.00004").load(str(tmp_path / "*.pcap"))
     rows = frame.orderBy("packet_id").collect()
-    assert [(r.packet_id, r.caplen, bytes(r.data)) for r in rows] == [(5 * f + i, i, bytes([i]) * i) for f in range(2) for i in range(5)]
+    assert [(r.packet_id >> 40, r.caplen, bytes(r.data)) for r in rows] == [(f, i, bytes([i]) * i) for f in range(2) for i in range(5)]
     assert frame.rdd.getNumPartitions() > 2 and rows[1].ts.microsecond == 250_000
+    (tmp_path / "c.raw").write_bytes(struct.pack("<IHHiIIIIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 101, 1, 0, 0, 0))
+    try:
+        spark.read.format("pcap").load(str(tmp_path / "c.raw")).collect()
+        raise AssertionError("link type")
+    except Exception as error:
+        assert "link type 101" in str(error)
+
+
+def test_captures_split_anywhere_give_each_packet_once(tmp_path):
+    import random
+
+    rng = random.Random(9)
+    sizes = [rng.choice([0, 14, 60, 60, 1500, 400]) for _ in range(300)]
+    bodies = [rng.randbytes(n) for n in sizes]
+    data = b"".join(struct.pack("<IIII", 1_700_000_000 + i // 50, rng.randrange(10**6), len(b), len(b)) + b for i, b in enumerate(bodies))
+    (tmp_path / "x.pcap").write_bytes(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + data + b"tail")
+    for chunk in ("0.0005", "0.003", "0.05", "1"):
+        reader = pcap.PcapReader({"path": str(tmp_path), "chunk_mb": chunk})
+        rows = [r for p in reader.partitions() for r in reader.read(p)]
+        assert [r[3] for r in rows] == bodies and len({r[0] for r in rows}) == 300
 
 
 def test_snapshots_and_registry(spark, tmp_path):
