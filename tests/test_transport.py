@@ -259,3 +259,14 @@ def test_snapshots_and_registry(spark, tmp_path):
     assert [(r.prefix, r.value) for r in rows] == [("1.0.0.0/24", "13335"), ("::/0", "1"), ("1.0.0.0/24", "2")]
     flow_files.register_reader("own", lambda s, path, options: s.createDataFrame([(path, options["x"])], "p string, x string"))
     assert flow_files.read_flow_file(spark, "f", "own", x="1").first() == ("f", "1")
+
+
+def test_netflow5_files(spark, tmp_path):
+    def datagram(sequence, ports):
+        head = struct.pack(">HHIIIIHH", 5, len(ports), 60_000, 1_700_000_060, 5000, sequence, 0, 0)
+        return head + b"".join(struct.pack(">IIIHHIIIIHHBBBBHHBBH", 0x0A000001, 0x0A000002, 0, 1, 2, 3, 120, 1000, 2000, p, 80, 0, 0x12, 6, 0, 7, 8, 24, 16, 0) for p in ports)
+
+    (tmp_path / "flows").write_bytes(datagram(10, [1, 2]) + datagram(12, [3]) + datagram(13, [4])[:-1])
+    rows = flow_files.read_flow_file(spark, str(tmp_path / "flows"), "netflow5").orderBy("sequence").collect()
+    assert [(r.sequence, r.src_port, r.octets, r.protocol, r.src_ip4, r.dst_as) for r in rows] == [(10, 1, 120, 6, 0x0A000001, 8), (11, 2, 120, 6, 0x0A000001, 8), (12, 3, 120, 6, 0x0A000001, 8)]
+    assert (rows[0].flow_end - rows[0].flow_start).total_seconds() == 1 and rows[0].flow_start.microsecond == 5
