@@ -91,8 +91,8 @@ def _kernel_rows(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """The kernel of each word with each landmark (given as rows over the hashed features)."""
     by_feature = np.ascontiguousarray(landmarks.T)
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for a in range(0, len(words), 500):
-        feature, word, weight = _subsequences(words[a : a + 500])
+    for a in range(0, len(words), 100):
+        feature, word, weight = _subsequences(words[a : a + 100])
         if len(word):
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             out[a + word[starts]] = np.add.reduceat(by_feature[feature] * weight[:, None].astype(np.float32), starts, axis=0)
@@ -107,8 +107,11 @@ def _dense(words: list[str]) -> np.ndarray:
 
 
 def margins(words: list[str], weights: np.ndarray) -> np.ndarray:
-    feature, word, weight = _subsequences(words)
-    return np.bincount(word, weights[feature] * weight, minlength=len(words))
+    out = np.zeros(len(words))
+    for a in range(0, len(words), 2000):
+        feature, word, weight = _subsequences(words[a : a + 2000])
+        out[a : a + 2000] = np.bincount(word, weights[feature] * weight, minlength=len(words[a : a + 2000]))
+    return out
 
 
 class Words:
@@ -322,9 +325,9 @@ class Model:
         kernel = _kernel_rows([sample.words[i] for i in used.tolist()], rows)
         sizes = np.array([len(s) for s in all_])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        x = np.add.reduceat(kernel[place], starts, axis=0) / np.sqrt(sizes)[:, None] @ root
+        x = (np.add.reduceat(kernel[place], starts, axis=0) / np.sqrt(sizes, dtype=np.float32)[:, None]) @ root.astype(np.float32)
         y = np.where(np.arange(len(all_)) < len(own), 1.0, -1.0)
-        w, self.bias = fit_machine([(slice(None), row) for row in x.astype(float)], x.shape[1], y, 30, STRENGTH)
+        w, self.bias = fit_machine([(slice(None), row) for row in x], x.shape[1], y, 30, STRENGTH)
         self.weights = ((root @ w) @ rows).astype(np.float32)
 
     @staticmethod
