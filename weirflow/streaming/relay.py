@@ -31,7 +31,7 @@ def stream_segments(datagrams: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # A batch's frames of a stream come in no order: only what a cut needs is held of all of them, payloads pass frame by frame.
+        # A batch's frames of a stream come in no order, so they are held together; the source bounds a batch (max_rows, maxFilesPerTrigger).
         parts = list(frames)
         keys = pd.concat([x[["seq", "recv_ts", "backlog"]] for x in parts], ignore_index=True)
         order = keys["seq"].argsort(kind="stable").to_numpy()
