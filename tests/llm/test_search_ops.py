@@ -143,7 +143,7 @@ def test_near_duplicates_equal_brute_force(spark, width, num):
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     """Lists and families of many blocks give what one block gives."""
-    for name, value in (("BLOCK", 4), ("BLOCK_SHINGLES", 600), ("HUBS", 1)):
+    for name, value in (("BLOCK", 4), ("LIST_BLOCK", 3), ("BLOCK_SHINGLES", 600), ("HUBS", 1)):
         monkeypatch.setattr(near_dedup, name, value)
     rows = copies(random.Random(3))
     got = [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85, 100).collect()]
@@ -163,7 +163,7 @@ def test_near_duplicates_of_many_repeated_rows(spark):
 
 def test_long_lists_lose_no_link(spark, monkeypatch):
     """Recall where every retained value that pairs share is in lists far longer than a block: texts are mostly one passage of all."""
-    for name, value in (("BLOCK", 16), ("HUBS", 2)):
+    for name, value in (("BLOCK", 16), ("LIST_BLOCK", 8), ("HUBS", 2)):
         monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(12)
     passage = [f"p{i}" for i in range(300)]

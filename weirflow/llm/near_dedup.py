@@ -16,7 +16,7 @@ documents hold is simply the last one to be listed.
 No step emits all pairs of a group. First every member of a list, or of a family of
 candidates, meets the group's hub (its smallest id), which is linear. What that
 connects is settled; only members outside the largest connected part meet the others
-again, in blocks of at most BLOCK a side inside one task, which emit spanning forests.
+again, in blocks of bounded size inside one task, which emit spanning forests.
 
 The chance that two similar sets part is that of a union sketch more than SIGMAS
 deviations below its mean, about 1e-9.
@@ -42,7 +42,9 @@ from weirflow.llm import textkernel as tk
 from weirflow.llm.components import connected
 from weirflow.llm.scratch import Scratch
 
-KEEP, BLOCK, SIGMAS = 64, 1024, 6
+KEEP, SIGMAS = 64, 6
+#: Members of a block of a family, and of a list.
+BLOCK, LIST_BLOCK = 1024, 256
 #: Shingles of a family's block, to bound a task's memory.
 BLOCK_SHINGLES = 2_000_000
 #: Members of a large family that each of its blocks meets at first, about.
@@ -334,7 +336,7 @@ def _families(reps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFram
     placed = _with_comp(lists, _labels(near, scratch, "hubbed"), "rep")
     mixed = _unsettled(placed, "value").filter("n > 2")
     rows = placed.join(mixed, "value").join(reps.select("rep", "own", "sketch"), ["rep", "own"])
-    rows = _blocked(rows, "rep", F.ceil(F.col("n") / BLOCK), F.ceil(F.col("rest") / BLOCK), F.col("comp") != F.col("main"))
+    rows = _blocked(rows, "rep", F.ceil(F.col("n") / LIST_BLOCK), F.ceil(F.col("rest") / LIST_BLOCK), F.col("comp") != F.col("main"))
     rows = rows.select("value", "p", "q", "rep", "sketch").repartition("value", "p", "q").sortWithinPartitions("value", "p", "q", "rep")
     return connected(rows.mapInArrow(_listed_links(share), "a long, b long").unionByName(near), scratch, "candidate")
 
