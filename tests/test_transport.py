@@ -38,6 +38,26 @@ def test_envelopes_round_trip(spark):
     assert frame.select(transport.decoded(transport.envelope(F.col("payload"), "a"), "b").alias("x")).filter("x is not null").count() == 0
 
 
+def test_lenient_base64_and_words(spark):
+    cases = [
+        (b"D " + base64.b64encode(bytes(range(n))), bytes(range(n))) for n in range(6)
+    ] + [
+        (b"D AAE", b"\x00\x01"), (b"D AAECA", b"\x00\x01\x02"), (b"D A", b""), (b"D =AAEC", b""), (b"D A?A-E\xc3\xa9C", b"\x00\x01\x02"), (b"D A?AECA", b"\x00\x01\x02"),
+        (b"\x0b\f D\x0b\tAAEC rest of it", b"\x00\x01\x02"), (b"D", b""), (b"X AAEC", None), (b"", None),
+    ]
+    frame = spark.createDataFrame([(i, line.decode()) for i, (line, _) in enumerate(cases)], "i long, line string")
+    rows = frame.select("i", transport.decoded(F.col("line")).alias("back")).orderBy("i").collect()
+    assert [None if r.back is None else bytes(r.back) for r in rows] == [back for _, back in cases]
+
+
+def test_a_line_is_computed_once(spark):
+    frame = spark.createDataFrame([(b"x" * 9,)], "payload binary")
+    line = transport.envelope(F.col("payload"))
+    for use in (transport.decoded(line), transport.status(line, F.lit(False))):
+        plan = frame.select(use.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("substring(payload") == 1
+
+
 def test_backoff(spark):
     assert [r.delay_s for r in transport.backoff(spark, 7).orderBy("attempt").collect()] == [1, 3, 9, 27, 81, 243, 243]
     assert [transport.next_delay(*x) for x in ((None, 0), (1, 5), (243, 5), (27, 3601))] == [1, 3, 243, 1]

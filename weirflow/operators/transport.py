@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ REPLIES = {
     520: "520 Invalid data from client",
 }
 _SEGMENT_NAME = "yyyy-MM-dd.HH.mm.ss"
+#: What a regular expression takes for white space.
+_SPACE = " \t\n\x0b\f\r"
 
 
 def base64_text(data: Column) -> Column:
@@ -33,11 +35,28 @@ def base64_text(data: Column) -> Column:
     return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once a row: an expression that is named several times else runs as often."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _padded(digits: Column) -> Column:
+    """Base64 digits as whole units of four."""
+    return F.concat(digits, F.repeat(F.lit("="), F.element_at(F.array(*map(F.lit, (0, 0, 2, 1))), F.octet_length(digits) % 4 + 1)))
+
+
 def base64_bytes(text: Column) -> Column:
-    """The bytes of Base64 text, leniently: foreign characters are skipped, the first ``=`` ends it, an odd last digit is dropped."""
-    digits = F.substring_index(F.regexp_replace(text, "[^A-Za-z0-9+/=]", ""), "=", 1)
-    whole = F.when(F.length(digits) % 4 == 1, F.substring(digits, F.lit(1), F.length(digits) - 1)).otherwise(digits)
-    return F.unbase64(F.concat(whole, F.repeat(F.lit("="), F.pmod(-F.length(whole), F.lit(4)))))
+    """The bytes of Base64 text, leniently: foreign characters are skipped, the first ``=`` ends it, an odd last digit is dropped.
+
+    Clean text is decoded at once; only what isn't goes through a regular expression.
+    """
+
+    def cleaned(digits: Column) -> Column:
+        size = F.octet_length(digits)
+        return F.unbase64(_padded(F.when(size % 4 == 1, F.substring(digits, F.lit(1), size - 1)).otherwise(digits)))
+
+    slow = lambda head: once(F.regexp_replace(head, "[^A-Za-z0-9+/]", ""), cleaned)
+    return once(F.substring_index(text, "=", 1), lambda head: F.coalesce(F.try_to_binary(_padded(head), F.lit("base64")), slow(head)))
 
 
 def envelope(payload: Column, key: str | None = None) -> Column:
@@ -58,18 +77,30 @@ def secret(key: str) -> Column:
 
 def parse_line(line: Column) -> tuple[Column, Column]:
     """(command, data): the first two words of a line; null where missing."""
-    words = F.split(F.regexp_replace(line, r"\A\s+", ""), r"\s+")
+    return _command_and_data(_words(line))
+
+
+def _words(line: Column) -> Column:
+    """The first two words of a line, and its rest."""
+    return F.split(F.ltrim(line, F.lit(_SPACE)), r"\s+", 3)
+
+
+def _command_and_data(words: Column) -> tuple[Column, Column]:
     word = lambda i: F.nullif(F.get(words, F.lit(i)), F.lit(""))
     return word(0), word(1)
 
 
 def decoded(line: Column, key: str | None = None) -> Column:
     """The payload of a line; missing data is empty, wrongly encrypted data null."""
-    command, data = parse_line(line)
-    raw = base64_bytes(F.coalesce(data, F.lit("")))
-    if key:
-        return F.when(command == "DE", F.try_aes_decrypt(raw, secret(key)))
-    return F.when(command == "D", raw)
+
+    def payload(words: Column) -> Column:
+        command, data = _command_and_data(words)
+        raw = base64_bytes(F.coalesce(data, F.lit("")))
+        if key:
+            return F.when(command == "DE", F.try_aes_decrypt(raw, secret(key)))
+        return F.when(command == "D", raw)
+
+    return once(_words(line), payload)
 
 
 def status(line: Column, has_key: Column, delivered: Column | None = None) -> Column:
@@ -79,17 +110,22 @@ def status(line: Column, has_key: Column, delivered: Column | None = None) -> Co
     there is one); empty payloads are never taken. Data that isn't Base64 decodes to
     what digits it has, so nothing of it is 410; only a null line's data is 520.
     """
-    command, data = parse_line(line)
-    raw = base64_bytes(F.coalesce(data, F.lit("")))
-    taken = (F.octet_length(raw) > 0) & (F.lit(True) if delivered is None else delivered)
-    return (
-        F.when(command.isNull() | ~command.isin("D", "DE"), 510)
-        .when((command == "DE") & ~has_key, 420)
-        .when((command == "D") & has_key, 430)
-        .when(raw.isNull(), 520)
-        .when(taken, 200)
-        .otherwise(410)
-    )
+
+    def answer(words: Column) -> Column:
+        command, data = _command_and_data(words)
+
+        def verdict(raw: Column) -> Column:
+            taken = (F.octet_length(raw) > 0) & (F.lit(True) if delivered is None else delivered)
+            return F.when(raw.isNull(), 520).when(taken, 200).otherwise(410)
+
+        return (
+            F.when(command.isNull() | ~command.isin("D", "DE"), 510)
+            .when((command == "DE") & ~has_key, 420)
+            .when((command == "D") & has_key, 430)
+            .otherwise(once(base64_bytes(F.coalesce(data, F.lit(""))), verdict))
+        )
+
+    return once(_words(line), answer)
 
 
 def reply(code: Column) -> Column:
