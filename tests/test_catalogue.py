@@ -34,9 +34,10 @@ def colliding(tmp_path_factory):
 
 
 _OF_PACKETS = ["flow_aggregate", "flow_id_crc64", "flow_records", "ipv6_header", "l4_ports_icmp", "label_tunnel_ends", "packet_rate", "snap_length", "template_export", "template_route", "teredo_accept", "tunnel_mix"]
+_OF_HARD_PACKETS = ["extension_headers", "hard_flow_records", "teredo_verdicts"]
 
 
-@pytest.mark.parametrize("name", _OF_PACKETS)
+@pytest.mark.parametrize("name", _OF_PACKETS + _OF_HARD_PACKETS)
 def test_query_equals_its_oracle_where_a_port_is_a_tunnels(spark, colliding, name):
     top, con = colliding
     same_rows(catalogue.QUERIES[name](spark, top), con.execute(catalogue.ORACLES[name]))

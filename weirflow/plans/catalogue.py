@@ -475,7 +475,7 @@ def teredo_verdicts(spark, sf_dir):
 (ARRAY[70, 62, 70, 78, 54, 54, 54, 54, 0, 100, 90, 108, 82, 82, 82, 126, 0, 0, 74, 0, 78, 0, 74, 74])[1 + CAST(kind AS INT)] AS upper_at FROM ({_HARD}) WHERE kind NOT IN (8, 16, 17, 19, 21)""")
 def extension_headers(spark, sf_dir):
     """P12 and P13: where the upper header begins after hop-by-hop and fragment headers, in every packet with an IPv6 header."""
-    found = decode.with_ipv6(decode.with_tunnel_offsets(decode.with_udp(decode.with_ipv4(decode.with_ethernet(inputs.hard_packets(spark, sf_dir))))))
+    found = decode.with_ipv6(decode.with_tunnel_offsets(decode.with_udp(decode.with_ipv4(decode.with_ethernet(inputs.hard_packets(spark, sf_dir, ports_shown=False))))))
     row = F.struct("packet_id", F.col("_protocol").alias("protocol"), F.col("_up").alias("upper_at"))
     return longs(found.select(F.inline(F.filter(F.array(row), lambda r: r["protocol"].isNotNull() & r["upper_at"].isNotNull()))))
 
